@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import Scratch
@@ -92,18 +93,10 @@ def pivotal_round(rows: DataFrame, scratch: Scratch, seed: int = 7) -> DataFrame
     return out.unionByName(last)
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 7) -> DataFrame:
-    """How many copies of each row a mix takes: ``key, size, source_size, target, copies, taken`` and the row's ``source`` and ``text_hash``.
-
-    A source's taken words come within one document's words of its target; no row is taken more than
-    ``ceil(cap)`` times; reruns agree.  Null and empty texts have no words: they are taken as often as
-    their hash decides and add nothing.  A null source is a source of its own, null keys are
-    rows like any other, rows that agree in key, text and source share what they are given as evenly
-    as whole copies allow, an empty table gives an empty result, and extra columns play no part.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    narrow = docs.select(docs[key].alias("key"), docs[source].alias("source"), word_count(docs[text]).alias("size"), F.xxhash64(docs[text], docs[text].isNull()).alias("text_hash"))
+def _decide(docs: DataFrame, share: float, cap: float, text: str, key: str, source: str, seed: int) -> DataFrame:
+    """For each distinct ``key, source, text_hash``: ``size, source_size, target, n_rows`` and the copies ``given`` to its rows together."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    narrow = docs.select(docs[key].alias("key"), docs[source].alias("source"), word_count(docs[text]).alias("size"), text_hash(docs[text]).alias("text_hash"))
     rows = scratch.write(narrow.groupBy("key", "source", "size", "text_hash").agg(F.count("*").alias("n_rows")), "rows")
     sizes = scratch.write(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size")), "sizes")
     targets = scratch.write(source_targets(sizes, share, cap), "targets").withColumnRenamed("source", "its_source")
@@ -116,7 +109,39 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, text: str = "text
     rounded = pivotal_round(wanted.where(open_), scratch, seed)
     u = F.pmod(F.col("row"), F.lit(1 << 52)) / float(1 << 52)
     whole = wanted.where(~open_).withColumn("p", F.when(u < F.col("p"), 1.0).otherwise(0.0))
-    done = rounded.select(whole.columns).unionByName(whole).withColumn("given", F.col("base") + F.col("p").cast("long"))
-    # Equal rows share the copies: each gets the whole share, the first ones one more.
-    spread = done.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1))).withColumn("copies", F.floor(F.col("given") / F.col("n_rows")) + (F.col("i") < F.col("given") % F.col("n_rows")).cast("long"))
+    return rounded.select(whole.columns).unionByName(whole).withColumn("given", F.col("base") + F.col("p").cast("long"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text, text.isNull())
+
+
+def _part(given: Column, rows: Column, i: Column) -> Column:
+    """Copies of the ``i``-th of equal rows: as even a share as whole copies allow."""
+    return F.floor(given / rows) + (i < given % rows).cast("long")
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 7) -> DataFrame:
+    """How many copies of each row a mix takes: ``key, source, text_hash, size, source_size, target, copies, taken``.
+
+    A source's taken words come within one document's words of its target; no row is taken more than
+    ``ceil(cap)`` times; reruns agree.  Null and empty texts have no words: they are taken as often as
+    their hash decides and add nothing.  A null source is a source of its own, null keys are
+    rows like any other, rows that agree in key, text and source share what they are given as evenly
+    as whole copies allow, an empty table gives an empty result, and extra columns play no part.
+    """
+    done = _decide(docs, share, cap, text, key, source, seed)
+    spread = done.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1))).withColumn("copies", _part(F.col("given"), F.col("n_rows"), F.col("i")))
     return spread.select(F.col("key").alias(key), F.col("source").alias(source), "text_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, share: float = 1.5, cap: float = 2.0, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 7) -> DataFrame:
+    """The mix itself: each row of ``docs``, all columns, as often as ``mix`` takes it.  Texts are moved once, to meet their copies."""
+    given = _decide(docs, share, cap, text, key, source, seed).where("given > 0")
+    given = given.select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("n_rows").alias("_rows"), F.col("given").alias("_given"))
+    met = docs.join(given, docs[key].eqNullSafe(F.col("_key")) & docs[source].eqNullSafe(F.col("_source")) & (text_hash(docs[text]) == F.col("_hash")))
+    # Only rows that repeat another have to be numbered.
+    numbered = met.where("_rows > 1").withColumn("_i", F.row_number().over(Window.partitionBy("_key", "_source", "_hash").orderBy("_hash")) - 1)
+    counted = met.where("_rows = 1").withColumn("_i", F.lit(0)).unionByName(numbered)
+    copies = _part(F.col("_given"), F.col("_rows"), F.col("_i")).cast("int")
+    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(c) for c in docs.columns])
