@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from granary.llm.common import Scratch, map_batches
 
 ORDERINGS, DIMENSIONS, GRID = 16, 5, 8
-#: Ranges of an ordering, and ranges to either side of a query's own that it meets.
-RANGES, WINDOW = 64, 2
+#: Ranges of an ordering (fewer where they would hold less than LEAST rows), and ranges to either side of a query's own that it meets.
+RANGES, LEAST, WINDOW = 64, 64, 2
 #: Vectors on which projections and range bounds are fitted; rows and queries that a cell holds.
 SAMPLE, CELL = 8192, 4096
 
@@ -171,6 +171,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, o
     n, m = distinct.count(), queries.count()
     if not n or not m:
         return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
+    ranges = max(1, min(ranges, n // LEAST))
     share = min(1.0, sample / n)
     got = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) / float(1 << 30) < share).select("vec").limit(2 * sample).collect() or distinct.select("vec").limit(sample).collect()
     got = sorted(bytes(r.vec) for r in got)

@@ -224,7 +224,7 @@ def brute_suffix(texts, length):
             if count[t[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        spans = len(re.findall(rb"\1+", bytes(gone)))
+        spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return Counter(out)
 
