@@ -314,7 +314,7 @@ def test_links_connect_a_dense_cluster(spark, bucket):
 
 
 def test_one_of_each_group_stays(docs):
-    kept = simhash.deduplicate(docs, shingle=4).collect()
+    kept = simhash.deduplicate(docs, shingle=4, words64=1, radius=4, segments=2, within=None).collect()
     assert set(kept[0].asDict()) == set(docs.columns)
     roots = classes(set(brute_fingerprint(r[1]) for r in corpus()), 4)
     assert Counter(roots[brute_fingerprint(r.text)] for r in kept) == Counter(set(roots.values()))
@@ -450,3 +450,19 @@ def test_turns_as_calls(spark):
     out = {(r.conv_id, r.call_id): r for r in toolchat.report(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()}
     assert out[1, "turn-1"].linked and not out[1, "turn-0"].linked and out[1, "i"].json.endswith('"result":"r"}')
     assert out[2, "turn-0"].errors == "missing text" and len(out) == 5
+
+
+def test_wide_fingerprints_find_similar_texts(spark):
+    rng = random.Random(12)
+    rows, groups = [], []
+    for g in range(60):
+        words = prose(rng, 150).split()
+        for c in range(3):
+            mine = list(words)
+            if c:
+                mine[rng.randrange(150)] = f"x{g}{c}"  # similarity about 0.93
+            rows.append((len(rows), " ".join(mine)))
+            groups.append(g)
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {groups[r.doc_id] for r in kept} == set(range(60)) and len(kept) <= 66
+    assert simhash.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
