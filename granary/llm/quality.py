@@ -129,12 +129,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "t
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(raw).tobytes() for raw in batch.column(1).to_pylist()], pa.binary())], names=["y", "x"])
 
     rows = docs.select(F.col(key).alias("k"), utf8(text).alias("raw")).join(F.broadcast(picked), "k").select("y", "raw").limit(4 * sample)  # picked: 4 * sample rows at most
-    got = map_batches(rows, features, "y int, x binary").collect()
-    got.sort(key=lambda r: (r.y, bytes(r.x)))
-    y = np.array([r.y for r in got], np.float64)
+    got = map_batches(rows, features, "y int, x binary").toArrow()
+    got = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    y = np.array([label for label, _ in got], np.float64)
     if len(set(y.tolist())) < 2:
         return None
-    x = np.stack([np.frombuffer(bytes(r.x)) for r in got])
+    x = np.stack([np.frombuffer(raw) for _, raw in got])
     seen = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, counts[1] / seen[1], counts[0] / seen[0])
     return train(x, y, weight / weight.mean())

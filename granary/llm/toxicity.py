@@ -114,10 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     """
     marks = sampled(labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y")), F.col("k"), F.col("y"), sample).limit(4 * sample)
     rows = docs.select(F.col(key).alias("k"), utf8(text).alias("raw")).where(F.octet_length("raw") <= longest)
-    got = rows.join(F.broadcast(marks), "k").select("y", "raw").limit(4 * sample).collect()  # marks: 4 * sample rows at most
-    got.sort(key=lambda r: (r.y, bytes(r.raw)))
-    y = np.array([r.y for r in got], np.int64)
-    return train([bytes(r.raw) for r in got], y) if len(set(y.tolist())) == 2 else None
+    got = rows.join(F.broadcast(marks), "k").select("y", "raw").limit(4 * sample).toArrow()  # marks: 4 * sample rows at most
+    got = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    y = np.array([label for label, _ in got], np.int64)
+    return train([raw for _, raw in got], y) if len(set(y.tolist())) == 2 else None
 
 
 def predict(docs: DataFrame, model: ToxicityModel | None, text: str = "text", threshold: float = 0.7) -> DataFrame:

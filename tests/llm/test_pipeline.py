@@ -1,0 +1,77 @@
+"""The corpus pipeline, stage by stage, on a small folder of tables."""
+
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from granary.llm import decontam
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(500)]
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    rows, labels = [], []
+    for i in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(40, 90)))
+        junk = i % 5 == 0
+        if junk:
+            text = " ".join(w.upper() + "$$$" for w in text.split())
+        elif i % 7 == 0 and i > 7:
+            text = rows[1][1]  # copies
+        elif i % 11 == 0:
+            text += " " + passage
+        rows.append((i, text, "en", f"s{i % 3}", len(text)))
+        labels.append((i, int(not junk), 0))
+    rows += [(None, None, None, None, None), (400, "", "en", None, 0)]
+    root = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(root / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(root / "labels.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(root / "benchmark.parquet"))
+    return str(root), passage
+
+
+def test_stages(spark, folder, tmp_path):
+    root, passage = folder
+    docs, seen = spark.read.parquet(f"{root}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, root)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == COLUMNS
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = docs.collect()
+    clean = [r for r in seen["quality"] if r.doc_id is not None and r.doc_id < 300]
+    assert all(r.doc_id % 5 for r in clean) and len(clean) >= 235
+    once = Counter(r.text for r in seen["near_duplicates"])
+    assert max(once.values()) == 1 and set(once) == {r.text for r in seen["quality"]}
+    for r in seen["decontamination"]:
+        assert passage not in (r.text or "") and r.n_chars == (None if r.text is None else len(r.text))
+    assert len(seen["decontamination"]) == len(seen["near_duplicates"])
+    copies = Counter(r.doc_id for r in seen["mixing"])
+    assert max(copies.values()) <= 2
+    words = lambda rows: sum(len(re.findall(r"\S+", r.text or "")) for r in rows)
+    assert abs(words(seen["mixing"]) - 1.5 * words(seen["decontamination"])) < 4 * 100
+    assert {r.shard for r in seen["sharding"]} <= set(range(40)) and len(seen["sharding"]) == len(seen["mixing"])
+    by_text = {}
+    for r in seen["sharding"]:
+        assert by_text.setdefault(r.text, r.shard) == r.shard
+
+
+def test_run(spark, folder):
+    out = corpus_pipeline.run(spark, folder[0])
+    assert "shard" in out.columns and out.count() > 200
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_cut_text_keeps_the_rest():
+    text = "Keep this. ONE two, three! And that."
+    words = decontam.words_of(text.encode())
+    assert words[2:5] == [b"one", b"two", b"three"]
+    assert decontam._without(text.encode(), [(2, 5)]) == b"Keep this. ! And that."
