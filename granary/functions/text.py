@@ -74,7 +74,7 @@ def periods(text: Column | str) -> Column:
     """Periods in the order of the text; of alternatives at a place the first listed counts."""
     # fixed values: recent years, year and month, year, quarter, half
     pattern = r"(최근\s*\d+\s*년|20\d{2}[.\-]\s*\d{1,2}\s*월?|20\d{2}\s*년?|[1-4]\s*분기|상반기|하반기)"
-    return F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), F.lit(1)), lambda x: F.trim(x))
 
 
 # fixed values: characters that titles are compared without, prefixes of corrected titles, and keywords
