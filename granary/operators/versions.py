@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.storage import cut
 
 #: Score from which a title decides between several candidates.
 FUZZY_LEAST = 40.0
@@ -82,25 +83,26 @@ def parents(rows: DataFrame, candidate_keys: list[str], score: Column | None = N
     return ours.join(chosen, "doc_id", "left").select("doc_id", "parent", source.alias("resolution_source"))
 
 
-def roots(links: DataFrame, most_rounds: int = 64, checkpoint: bool = False) -> DataFrame:
+def roots(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """``doc_id, root`` from ``doc_id, parent``, by pointer doubling: rounds grow with the logarithm of the longest chain.
 
     A document in a cycle is its own root; one that leads into a cycle has the cycle's first document it meets.
     """
-    now = links.select("doc_id", F.coalesce("parent", "doc_id").alias("up"))
-    own = now
-    for i in range(most_rounds):
-        above = now.select(F.col("doc_id").alias("up"), F.col("up").alias("above"))
-        nxt = now.join(above, "up", "left").select("doc_id", F.coalesce("above", "up").alias("up"))
-        nxt = nxt.checkpoint() if checkpoint else nxt.persist()
-        moved = nxt.join(now.withColumnRenamed("up", "was"), "doc_id").where("up <> was").limit(1).count()
-        now = nxt
-        if not moved:
-            return now.withColumnRenamed("up", "root")
-        if i >= 20:
+    own = cut(links.select("doc_id", F.coalesce("parent", "doc_id").alias("up")))
+    tops = own.where("doc_id = up").select("up")
+    now, before = own, None
+    for _ in range(most_rounds):
+        unsettled = now.join(tops, "up", "left_anti").count()
+        if unsettled in (0, before):  # what no longer shrinks is in or before a cycle
             break
-    # Pointers that never settle are in or before a cycle: members of a cycle are those that reach themselves.
-    return _with_cycles(own)
+        above = now.select(F.col("doc_id").alias("up"), F.col("up").alias("above"))
+        now = now.join(above, "up", "left").select("doc_id", F.coalesce("above", "up").alias("up"))
+        now, before = cut(now), unsettled
+    settled = now.join(tops, "up", "left_semi").select("doc_id", F.col("up").alias("root"))
+    if not unsettled:
+        return settled
+    loose = now.join(tops, "up", "left_anti").select("doc_id")
+    return settled.unionByName(_with_cycles(own.join(loose, "doc_id", "left_semi")))
 
 
 def _with_cycles(own: DataFrame) -> DataFrame:
@@ -112,14 +114,15 @@ def _with_cycles(own: DataFrame) -> DataFrame:
         ended = F.array_contains("seen", F.col("at"))
         got = walk.where(ended).select("doc_id", F.col("at").alias("root"))
         done = got if done is None else done.unionByName(got)
-        walk = walk.where(~ended).withColumn("seen", F.array_append("seen", F.col("at"))).join(up, "at").select("doc_id", F.col("next").alias("at"), "seen").persist()
+        walk = walk.where(~ended).withColumn("seen", F.array_append("seen", F.col("at"))).join(up, "at").select("doc_id", F.col("next").alias("at"), "seen")
+        walk = cut(walk)
         if walk.isEmpty():
             return done
 
 
 def event_groups(rows: DataFrame, candidate_keys: list[str]) -> DataFrame:
     """Groups along the chain of corrections; unresolved corrections are groups of their own."""
-    links = parents(rows, candidate_keys).persist()
+    links = cut(parents(rows, candidate_keys))
     grouped = rows.join(links.select("doc_id", "resolution_source"), "doc_id").join(roots(links).withColumnRenamed("root", "correction_group_id"), "doc_id")
     return finalize(grouped)
 

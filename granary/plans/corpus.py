@@ -24,7 +24,7 @@ def build(spark: SparkSession, manifest_path: str, root: str, only: list[str] |
     """All chunks of a corpus.  Versions are resolved over the full manifest even if only some filings are chunked."""
     manifest = files.manifest(spark, manifest_path)
     raw = files.raw_files(spark, root)
-    ours = files.main_files(raw, manifest).persist()
+    ours = files.main_files(raw, manifest)
     health = validation.resolution_report(manifest.join(ours.select("doc_id").distinct().withColumn("resolved", F.lit(True)), "doc_id", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False))))
     texts = ours.where("is_main").select("doc_id", parsers.flat_text("content", F.col("doc_group") == "exchange").alias("text"))
     fixed = files.overrides(spark, overrides) if overrides else None
@@ -32,5 +32,5 @@ def build(spark: SparkSession, manifest_path: str, root: str, only: list[str] |
     filings = manifest.drop("is_correction").join(index, "doc_id")
     wanted = ours if only is None else ours.where(F.col("doc_id").isin(only))
     nodes = parsers.parse(wanted)
-    made = chunks.chunk(nodes, filings.drop("doc_group").join(manifest.select("doc_id", F.col("doc_group")), "doc_id"))
+    made = chunks.chunk(nodes, filings)
     return Corpus(filings, nodes, made, chunks.leaves(made), health)

@@ -489,7 +489,7 @@ def doc_nodes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     lines = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, "periodic").otherwise("major").alias("doc_group"), F.lit("main").alias("report_subtype"), F.lit("p").alias("source_path"), F.col("source").alias("document_name"), F.posexplode(F.split("text", "\n")).alias("node_seq", "text"))
     section = F.floor(F.col("node_seq") / 10).cast("int")
     nodes = lines.select("doc_id", "doc_group", "report_subtype", "source_path", "document_name", section.alias("section_seq"), F.concat(F.lit("S"), section).alias("section_title"), F.lit(1).alias("section_level"), F.array(F.concat(F.lit("S"), section)).alias("section_path"), "node_seq", F.lit("text").alias("kind"), "text", *[F.lit(None).cast("string").alias(c) for c in ("title_hint", "unit_hint", "acode_group")], F.lit(None).cast("array<array<struct<text:string,is_header:boolean,field_code:string,unit_code:string,unit_value:string>>>").alias("rows"), F.lit(None).cast("string").alias("group_label"), F.lit(None).cast("array<struct<key:string,value:string,field_code:string,unit_code:string>>").alias("pairs"))
-    meta = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("corp_name"), F.col("source").alias("corp_code"), F.when(F.col("doc_id") % 2 == 0, "periodic").otherwise("major").alias("doc_group"), F.lit("annual").alias("doc_subtype"), F.col("lang").alias("report_nm"), F.lit(2024).alias("base_year"), F.lit(12).alias("base_month"), F.lit("20250101").alias("rcept_dt"), F.lit(False).alias("is_correction"), F.col("doc_id").cast("string").alias("correction_group_id"), F.lit(0).alias("correction_order"), F.lit(True).alias("is_latest"), F.col("source").alias("document_name"))
+    meta = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("corp_name"), F.col("source").alias("corp_code"), F.when(F.col("doc_id") % 2 == 0, "periodic").otherwise("major").alias("doc_group"), F.lit("annual").alias("doc_subtype"), F.col("lang").alias("report_nm"), F.lit(2024).alias("base_year"), F.lit(12).alias("base_month"), F.lit("20250101").alias("rcept_dt"), F.lit(False).alias("is_correction"), F.col("doc_id").cast("string").alias("correction_group_id"), F.lit(0).alias("correction_order"), F.lit(True).alias("is_latest"))
     return nodes, meta
 
 

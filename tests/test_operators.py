@@ -178,7 +178,7 @@ def test_classification(spark):
 def test_routing(spark):
     examples = spark.createDataFrame([("u1", "x", [1.0, 0.0]), ("u2", "x", [0.9, 0.1]), ("u3", "y", [0.0, 1.0])], "utterance_id string, route string, vec array<float>")
     q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.7, 0.7])], "query_id string, vec array<float>")
-    out = {r.query_id: r for r in routing.cascade(routing.decide(routing.route_scores(examples, q, "max"), 0.5), F.lit("second")).collect()}
+    out = {r.query_id: r for r in routing.cascade(routing.decide(routing.route_scores(examples, q, "max"), 0.5), F.lit("second"), 0.1).collect()}
     assert out["q1"].route == "x" and not out["q1"].escalated and out["q2"].escalated and out["q2"].route == "second"
     assert routing.no_route(q).first().route is None
     labels = spark.createDataFrame([("calculation ",), ("unclear",), ("x",)], "a string").select(routing.parse_label(F.col("a")).alias("r")).collect()
