@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -157,6 +158,12 @@ def canonical_key(name: pd.Series, arguments: pd.Series) -> pd.Series:
     return pd.Series([f"{n}::{json.dumps(json.loads(a or '{}'), sort_keys=True, ensure_ascii=False)}" for n, a in zip(name, arguments, strict=True)])
 
 
+@F.pandas_udf(StringType())
+def point_id(chunk_id: pd.Series) -> pd.Series:
+    """A stable UUID of a chunk's id, as vector stores want it."""
+    return chunk_id.map(lambda c: None if c is None else str(uuid.uuid5(uuid.NAMESPACE_URL, c)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; null if either vector is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, i: s + i)

@@ -686,3 +686,80 @@ def event_windows(spark, sf_dir):
     from granary.streaming import stream
 
     return stream.tumbling(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+# ---- further operators
+
+
+@query("SELECT o_orderkey, contains(regexp_replace(o_orderpriority || '[기재정정]', '[ㆍ· /\\[\\]()]', '', 'g'), 'HIGH') OR contains(regexp_replace(o_orderstatus, '[ㆍ· /\\[\\]()]', '', 'g'), 'HIGH') AS hit FROM orders")
+def title_match(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.title_match(F.lit("HI GH"), F.concat("o_orderpriority", F.lit("[기재정정]")), "o_orderstatus").alias("hit"))
+
+
+@query("SELECT n_nationkey, 'f::{\"a\": ' || n_nationkey || ', \"b\": \"' || n_name || '\"}' AS k FROM nation")
+def canonical_call_key(spark, sf_dir):
+    arguments = F.concat(F.lit('{"b":"'), F.col("n_name"), F.lit('",  "a":'), F.col("n_nationkey"), F.lit("}"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", T.canonical_key(F.lit("f"), arguments).alias("k"))
+
+
+@query(None)
+def vector_point_ids(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", T.point_id(F.col("vec_id").cast("string")).alias("point_id"))
+
+
+@query("SELECT doc_id, '[' || source || ']' || chr(10) || '- lang: ' || lang || chr(10) || '- chars: ' || n_chars AS body FROM documents")
+def kv_render(spark, sf_dir):
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"), F.lit(None).cast("string").alias("field_code"), F.lit(None).cast("string").alias("unit_code"))
+    return table(spark, sf_dir, "documents").select("doc_id", chunks.render_pairs(F.col("source"), F.array(pair("lang", F.col("lang")), pair("chars", F.col("n_chars")))).alias("body"))
+
+
+@query("""SELECT p_partkey, p_partkey % 2 = 0 AS contents FROM part""")
+def contents_tables(spark, sf_dir):
+    c = lambda t: F.struct(t.cast("string").alias("text"), F.lit(False).alias("is_header"), *[F.lit(None).cast("string").alias(n) for n in ("field_code", "unit_code", "unit_value")])
+    dots = F.when(F.col("p_partkey") % 2 == 0, F.lit("-" * 20)).otherwise(F.lit("-"))
+    row = F.array(c(F.col("p_name")), c(dots), c(F.col("p_size")))
+    return table(spark, sf_dir, "part").select("p_partkey", chunks.is_contents_table(F.array(row, row, row)).alias("contents"))
+
+
+@query("SELECT 'both' AS side, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) UNION ALL SELECT 'bag', count(*) FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier)")
+def set_operations(spark, sf_dir):
+    c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier")
+    rich, every = s.where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")), s.select(F.col("s_nationkey").alias("k"))
+    parts = (("both", c.intersect(every)), ("customers", c.subtract(rich)), ("bag", c.unionByName(every)))
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n") for name, df in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query("SELECT label::VARCHAR AS report_type, max(vec_id) AS chunk_id FROM embeddings GROUP BY label")
+def upsert_last(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("report_type"))
+    return retrieval.last_by_key(rows, "report_type", "vec_id").select("report_type", F.col("vec_id").alias("chunk_id"))
+
+
+@query("SELECT query_id, chunk_id, rank, length(text) AS n FROM (SELECT item_id AS query_id, doc_id AS chunk_id, text, row_number() OVER (PARTITION BY item_id ORDER BY length(text) DESC, doc_id) AS rank FROM benchmark JOIN (SELECT doc_id, text, doc_id % 40 AS item_id FROM documents) USING (item_id)) WHERE rank <= 3".replace("benchmark JOIN (SELECT doc_id, text, doc_id % 40 AS item_id FROM documents) USING (item_id)", "(SELECT doc_id, text, doc_id % 40 AS item_id FROM documents)"))
+def rerank(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("chunk_id"), "text", F.lit(1).alias("rank"))
+    return retrieval.rerank(rows, F.length("text").cast("double"), 3).select("query_id", "chunk_id", "rank", F.col("score").cast("long").alias("n"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g""")
+def event_sessions(spark, sf_dir):
+    from granary.streaming import stream
+
+    return stream.sessions(table(spark, sf_dir, "events")).select("user_id", "start", "n")
+
+
+@query("SELECT page_id, '[이미지: ' || url || ' — 원문 참조]' AS text FROM pages")
+def xml_nodes(spark, sf_dir):
+    body = F.concat(F.lit("<DOCUMENT><BODY><SECTION-1><TITLE>t</TITLE><IMAGE><IMG-CAPTION>"), F.col("url"), F.lit("</IMG-CAPTION></IMAGE></SECTION-1></BODY></DOCUMENT>"))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("major").alias("doc_group"), F.lit("xml").alias("file_format"), F.lit(True).alias("is_main"), F.lit("p").alias("path"), body.cast("binary").alias("content"))
+    return parsers.parse(rows).select(F.col("doc_id").cast("long").alias("page_id"), "text")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS target_date, '보고서 ' || o_orderstatus AS target_title FROM orders")
+def correction_targets(spark, sf_dir):
+    d = "o_orderdate"
+    text = F.concat(F.lit("1. 정정대상 공시서류 : 보고서 "), F.col("o_orderstatus"), F.lit(" 2. 정정대상 공시서류의 최초제출일 : "), F.year(d), F.lit("년 "), F.month(d), F.lit("월 "), F.dayofmonth(d), F.lit("일"))
+    t = versions.correction_target(versions.flat(text), F.when(F.col("o_orderkey") % 2 == 0, "exchange").otherwise("major"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", t["target_date"].alias("target_date"), t["target_title"].alias("target_title"))

@@ -246,3 +246,24 @@ def test_search_tool(spark, chunk_rows):
 
 def test_tokenizers_by_name():
     assert T.tokenizer("whitespace") is T.whitespace_tokens and callable(T.tokenizer("char_3gram")) and callable(T.tokenizer("kiwi"))
+
+
+def test_retries():
+    waits, calls = [], []
+
+    class Flaky:
+        def chat(self, messages, schemas):
+            calls.append(1)
+            if len(calls) < 3:
+                raise OSError("busy")
+            return {"text": "ok"}
+
+    assert tools.Retrying(Flaky(), sleep=waits.append).chat([], []) == {"text": "ok"} and waits == [3.0, 6.0]
+    calls.clear()
+    with pytest.raises(OSError):
+        tools.Retrying(Flaky(), attempts=2, sleep=waits.append).chat([], [])
+
+
+def test_embedding(spark, chunk_rows):
+    out = retrieval.embed(chunk_rows, lambda t: F.array(F.length(t).cast("float"), F.lit(0.0).cast("float")), prefix="query: ").collect()
+    assert all(abs(r.vec[0] - 1) < 1e-6 for r in out)
