@@ -128,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "t
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(raw).tobytes() for raw in batch.column(1).to_pylist()], pa.binary())], names=["y", "x"])
 
-    rows = docs.select(F.col(key).alias("k"), utf8(text).alias("raw")).join(F.broadcast(picked), "k").select("y", "raw").limit(4 * sample)  # picked: 4 * sample rows at most
-    got = map_batches(rows, features, "y int, x binary").toArrow()
+    rows = docs.select(F.col(key).alias("k"), utf8(text).alias("raw")).join(F.broadcast(picked), "k").select("y", "raw")  # picked: 4 * sample rows at most
+    got = map_batches(rows, features, "y int, x binary").limit(4 * sample).toArrow()
     got = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     y = np.array([label for label, _ in got], np.float64)
     if len(set(y.tolist())) < 2:
