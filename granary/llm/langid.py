@@ -96,7 +96,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str
         counts = [_shares(counts_of(raw)).tobytes() for raw in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], names=["lang", "counts"])
 
-    got = map_batches(picked.select(F.col(lang).alias("lang"), utf8(text).alias("raw")).limit(2 * sample), features, "lang string, counts binary").toArrow()
+    got = map_batches(picked.select(F.col(lang).alias("lang"), utf8(text).alias("raw")), features, "lang string, counts binary").limit(2 * sample).toArrow()
     got = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     if not got:
         return None
