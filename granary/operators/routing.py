@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.operators.retrieval import dense_scores
+from granary.operators.retrieval import dense_top
 
 #: Names of the six intents that the engine's tools serve.
 ROUTES = ("single_lookup", "correction_analysis", "multi_compare", "calculation", "ownership_analysis", "event_analysis")
@@ -19,9 +19,7 @@ def utterances(spark, table: dict[str, list[str]]) -> DataFrame:
 
 def route_scores(examples: DataFrame, queries: DataFrame, agg: str = "mean", top_k: int = 5) -> DataFrame:
     """``query_id, route, score``: over the ``top_k`` nearest utterances (``utterance_id, route, vec``), their mean, max or sum by route."""
-    near = dense_scores(examples.select(F.col("utterance_id").alias("chunk_id"), "vec"), queries)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top_k).drop("_n")
+    near = dense_top(examples.select(F.col("utterance_id").alias("chunk_id"), "vec"), queries, top_k, places=9)
     near = near.join(examples.select(F.col("utterance_id").alias("chunk_id"), "route"), "chunk_id")
     return near.groupBy("query_id", "route").agg({"mean": F.avg, "max": F.max, "sum": F.sum}[agg]("score").alias("score"))
 

@@ -158,13 +158,13 @@ def rounded(scores: DataFrame) -> DataFrame:
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, chunk_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense) WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
-    return retrieval.ranked(rounded(retrieval.dense_scores(vector_rows(spark, sf_dir), vector_queries(spark, sf_dir))), 10).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
+    return retrieval.dense_top(vector_rows(spark, sf_dir), vector_queries(spark, sf_dir), 10, places=9).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {DENSE_SQL} SELECT query_id, chunk_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense WHERE report_type IN ('1', '2') AND is_latest) WHERE rank <= 5")
 def dense_filtered(spark, sf_dir):
     kept = filters.apply(vector_rows(spark, sf_dir), filters.RetrievalFilter(doc_groups=["1", "2"], latest_only=True), dense_compat=True)
-    return retrieval.ranked(rounded(retrieval.dense_scores(kept, vector_queries(spark, sf_dir))), 5).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
+    return retrieval.dense_top(kept, vector_queries(spark, sf_dir), 5, places=9).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
 LABEL_SQL = "bylabel AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, (abs(v.vec_id - q.vec_id) + 1)::DOUBLE AS score FROM embeddings v, embeddings q WHERE q.vec_id % 25 = 0 AND v.label = q.label)"
@@ -175,7 +175,7 @@ def lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label")
     other = e.join(q, "label").select("query_id", F.col("vec_id").alias("chunk_id"), (F.abs(F.col("vec_id") - F.col("query_id")) + 1).cast("double").alias("score"))
-    return retrieval.ranked(rounded(retrieval.dense_scores(vector_rows(spark, sf_dir), vector_queries(spark, sf_dir))), 50), retrieval.ranked(other, 50)
+    return retrieval.dense_top(vector_rows(spark, sf_dir), vector_queries(spark, sf_dir), 50, places=9), retrieval.ranked(other, 50)
 
 
 TOPS_SQL = f"""{DENSE_SQL}, {LABEL_SQL},
@@ -212,7 +212,7 @@ def hybrid_search(spark, sf_dir):
     vectors = vector_rows(spark, sf_dir)
     q = asked.join(vectors.select(F.col("chunk_id").alias("query_id"), "vec"), "query_id")
     lexical = retrieval.ranked(rounded(retrieval.bm25_scores(index(spark, sf_dir), asked)), 50)
-    dense = retrieval.ranked(rounded(retrieval.dense_scores(vectors, q)), 50)
+    dense = retrieval.dense_top(vectors, q, 50, places=9)
     return retrieval.ranked(rounded(retrieval.rrf([lexical, dense]).drop("rank")), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -316,7 +316,7 @@ SELECT query_id, round(coalesce(found, 0) / 3.0, 6) AS recall, round(coalesce(1.
 
 
 def judged_ranking(spark, sf_dir) -> DataFrame:
-    top = retrieval.ranked(rounded(retrieval.dense_scores(vector_rows(spark, sf_dir), vector_queries(spark, sf_dir))), 20).select("query_id", (F.col("chunk_id") % 20).alias("report_id"), "rank")
+    top = retrieval.dense_top(vector_rows(spark, sf_dir), vector_queries(spark, sf_dir), 20, places=9).select("query_id", (F.col("chunk_id") % 20).alias("report_id"), "rank")
     gold = vector_queries(spark, sf_dir).select("query_id", F.array(*[(F.col("query_id") + i) % 20 for i in (0, 3, 7)]).alias("gold"))
     return evaluation.per_query(top, gold, 10)
 
@@ -763,3 +763,9 @@ def correction_targets(spark, sf_dir):
     text = F.concat(F.lit("1. 정정대상 공시서류 : 보고서 "), F.col("o_orderstatus"), F.lit(" 2. 정정대상 공시서류의 최초제출일 : "), F.year(d), F.lit("년 "), F.month(d), F.lit("월 "), F.dayofmonth(d), F.lit("일"))
     t = versions.correction_target(versions.flat(text), F.when(F.col("o_orderkey") % 2 == 0, "exchange").otherwise("major"))
     return table(spark, sf_dir, "orders").select("o_orderkey", t["target_date"].alias("target_date"), t["target_title"].alias("target_title"))
+
+
+@query("SELECT q.vec_id AS query_id, count(*) AS n, round(avg(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS mean FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id")
+def dense_all_pairs(spark, sf_dir):
+    scores = retrieval.dense_scores(vector_rows(spark, sf_dir), vector_queries(spark, sf_dir).where("query_id % 100 = 0"))
+    return scores.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
