@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-#: Blanks as Python's ``str.split`` knows them (``\s`` with Unicode, and the separators U+001C to U+001F).
+#: Blanks as Python's ``str.split`` knows them: ``\\s`` with Unicode, and the separators U+001C to U+001F.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -31,7 +31,7 @@ def is_nfc(text: pd.Series) -> pd.Series:
 
 
 def whitespace_tokens(text: Column | str) -> Column:
-    return F.filter(F.split(F.coalesce(col(text), F.lit("")), BLANKS), lambda t: t != "")
+    return F.array_remove(F.split(F.coalesce(col(text), F.lit("")), BLANKS), "")
 
 
 def char_ngrams(text: Column | str, n: int) -> Column:
