@@ -26,6 +26,8 @@ BAG = 10
 SAMPLE, SAMPLE_BYTES = 3000, 50_000
 #: Passes over the sample, and steps at least (a small sample is passed more often).
 EPOCHS, STEPS = 12, 40_000
+#: Share of an n-gram's log odds over texts with which its embedding starts.
+START = 0.5
 
 
 @dataclass
@@ -66,6 +68,15 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: fl
     embed = rng.normal(0, 0.02, (1 << BITS, WIDTH)).astype(np.float32)
     weights = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
+    # Training starts from what is known without bags: how much more often than not a text with the n-gram is toxic.
+    seen = np.zeros((2, 1 << BITS))
+    for i in fit:
+        seen[labels[i], np.unique(np.concatenate(grams[i]))] += 1
+    totals = np.bincount(labels[fit], minlength=2).clip(1)
+    odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
+    odds[seen.sum(axis=0) < 2] = 0
+    toward = weights[:, 1] - weights[:, 0]
+    embed += np.outer(odds, START * toward / (toward @ toward)).astype(np.float32)
     prior = np.bincount(labels[fit], minlength=2).clip(1) / max(1, len(fit))
     table = embed @ (weights[:, 1] - weights[:, 0])
     epochs = max(epochs, -(-STEPS // max(1, len(fit))))
