@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontam, mixing, quality, sharding, simhash
+from granary.llm import decontam, mixing, quality, sharding, similar
 from granary.llm.common import Scratch, fold, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,8 +23,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.deduplicate(docs.select(COLUMNS))
+    """One document of each group of near-duplicates, at a five-word Jaccard similarity of 0.8 or more, stays."""
+    return similar.deduplicate(docs.select(COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

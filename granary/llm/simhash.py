@@ -229,17 +229,27 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Duplicates for a corpus: five-word shingles and an estimated similarity of 0.8 or more.  The angle between shingle
-#: sets with Jaccard similarity 0.8 is 0.1515 half turns, or 19.4 of 128 bits.
+#: SimHash duplicates for a corpus: 128 bits over five-word shingles, of which 19 may differ.  The angle between shingle
+#: sets with Jaccard similarity 0.8 is 0.1515 half turns: 19.4 of 128 bits on average, so about half of such pairs differ in more.
 WIDE = {"shingle": 5, "words64": 2, "radius": 19, "segments": 6, "within": 2}
 
 
+def one_of_each(docs: DataFrame, groups: DataFrame, rows: DataFrame, scratch: Scratch, text: str, key: str) -> DataFrame:
+    """The rows of ``docs`` that are ``first`` (``key, th``) of their group; one of those equal in key and text, which ``rows`` (``key, th``) tells."""
+    stay = scratch.write(groups.select(F.col("first.key").alias("_key"), F.col("first.th").alias("_th")).distinct(), "stay")
+    repeats = scratch.write(rows.groupBy("key", "th").count().where("count > 1").select(F.col("key").alias("_key"), F.col("th").alias("_th")), "repeats")
+    kept = docs.join(stay, docs[key].eqNullSafe(stay["_key"]) & (F.xxhash64(docs[text], docs[text].isNull()) == stay["_th"]), "left_semi")
+    if repeats.isEmpty():
+        return kept
+    again = kept[key].eqNullSafe(repeats["_key"]) & (F.xxhash64(kept[text], kept[text].isNull()) == repeats["_th"])
+    return kept.join(repeats, again, "left_anti").unionByName(kept.join(repeats, again, "left_semi").dropDuplicates([key, text]))
+
+
 def deduplicate(docs: DataFrame, shingle: int = WIDE["shingle"], words64: int = WIDE["words64"], radius: int = WIDE["radius"], segments: int = WIDE["segments"], within: int | None = WIDE["within"], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group of near-duplicates, with all columns: the one of the smallest key, then the smallest hash of its text.
+    """One row of each group of near-duplicates by SimHash, with all columns: the one of the smallest key, then the smallest hash of its text.
 
-    By default documents are linked whose 128-bit fingerprints over five-word shingles differ as little as those of a
-    Jaccard similarity of 0.8 do on average.  Balls of radius 2 in six segments find all links of at most 17 bits and
-    93 % of those at similarity 0.8.  Of rows equal in key and text one stays.  Null keys come after all
+    Fingerprints alone decide: by default about half the pairs at a Jaccard similarity of 0.8 are linked, and some below it;
+    ``similar.deduplicate`` holds to the similarity itself.  Of rows equal in key and text one stays.  Null keys come after all
     others; null and empty texts are one group; an empty table gives an empty result; extra columns are kept.
     """
     scratch = Scratch(docs.sparkSession, "simhash-dedup")
@@ -250,10 +260,4 @@ def deduplicate(docs: DataFrame, shingle: int = WIDE["shingle"], words64: int =
     distinct = scratch.write(distinct.withColumn("id", F.col("fp") if words64 == 1 else F.monotonically_increasing_id()), "distinct")
     roots = connected(links(distinct, radius, segments, within, words64), scratch)
     groups = distinct.join(roots, distinct["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
-    stay = scratch.write(groups.select(F.col("first.key").alias("_key"), F.col("first.th").alias("_th")).distinct(), "stay")
-    repeats = scratch.write(rows.groupBy("key", "th").count().where("count > 1").select(F.col("key").alias("_key"), F.col("th").alias("_th")), "repeats")
-    kept = docs.join(stay, docs[key].eqNullSafe(stay["_key"]) & (F.xxhash64(docs[text], docs[text].isNull()) == stay["_th"]), "left_semi")
-    if repeats.isEmpty():
-        return kept
-    again = kept[key].eqNullSafe(repeats["_key"]) & (F.xxhash64(kept[text], kept[text].isNull()) == repeats["_th"])
-    return kept.join(repeats, again, "left_anti").unionByName(kept.join(repeats, again, "left_semi").dropDuplicates([key, text]))
+    return one_of_each(docs, groups, rows, scratch, text, key)

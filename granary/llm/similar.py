@@ -1,0 +1,140 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, the shingle sets decide.
+
+A document's distinct shingles are hashed to 64 bits.  Two documents meet in a band if the minima of its ``ROWS`` hash
+functions agree, which at similarity s has probability s ** ROWS; at 0.8 some of 24 bands of six agree with
+probability 0.9993.  Candidates are linked if their shingle sets have the similarity, so nothing below it is.
+
+In a band's bucket all are first compared with the smallest id.  Only those that no link has joined to it by then
+are compared with the rest of the bucket, so a group of near copies costs as many comparisons as it has members.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from granary.llm.common import Scratch, map_batches, utf8
+from granary.llm.components import connected
+from granary.llm.simhash import one_of_each
+
+SHINGLE = 5
+#: Jaccard similarity from which documents are linked.
+LEAST = 0.8
+BANDS, ROWS = 24, 6
+SEED = 42
+#: Shingles hashed at once.
+CHUNK = 2048
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+
+
+def grams(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct word shingles, sorted; a text of fewer words is one shingle, one without words has none."""
+    words = raw.lower().split()  # on ASCII blanks; lower-cases A-Z only
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    ends = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter([h(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64, n))
+
+
+def name(values: np.ndarray) -> int:
+    """64-bit hash of a shingle set: equal sets are one document from here on."""
+    return xxhash.xxh64_intdigest(values.tobytes(), SEED) - (1 << 63)
+
+
+def bands(values: np.ndarray) -> list[int]:
+    """A key for each band; none without shingles."""
+    if not len(values):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(values), CHUNK):
+        np.minimum(least, (_FACTORS * values[None, k : k + CHUNK] + _OFFSETS).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(part.tobytes(), band) - (1 << 63) for band, part in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def sketches(tagged: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``key, th, id, n, bands`` of ``key, th, text``: the shingle set's hash, its size, its bands."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [grams(raw, shingle) for raw in batch.column(2).to_pylist()]
+        made = [pa.array([name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["key", "th", "id", "n", "bands"])
+
+    return map_batches(tagged.select("key", "th", utf8("text").alias("raw")), run, f"key {tagged.schema['key'].dataType.simpleString()}, th long, id long, n long, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``id, grams`` of ``id, text``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [grams(raw, shingle).view(np.int64) for raw in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "grams"])
+
+    return map_batches(texts.select("id", utf8("text").alias("raw")), run, "id long, grams array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose shingle sets are as similar as ``least``."""
+    held = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return held.select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("sum")).where(F.col("both") / (F.col("sum") - F.col("both")) >= least).select("a", "b")
+
+
+def links(distinct: DataFrame, sets_of, scratch: Scratch, least: float = LEAST) -> DataFrame:
+    """Edges ``a, b`` between sets ``id, n, bands`` that are similar: enough to connect whatever links connect.
+
+    ``sets_of`` gives ``id, grams`` for a table of ids.
+    """
+    members = distinct.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("first")).where("members > 1")
+    members = members.join(shared.select("bucket", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "bucket")
+    members = scratch.write(members, "members")
+    sets = scratch.write(sets_of(members.select("id").distinct()), "sets")
+
+    fits = lambda a, b: F.least(a, b) >= F.floor(F.greatest(a, b) * least)  # noqa: E731  (sizes further apart can't be that similar)
+    star = members.where((F.col("id") != F.col("first")) & fits("n", "first_n")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    near = scratch.write(verified(scratch.write(star, "star"), sets, least), "near")
+
+    roots = scratch.write(connected(near, scratch), "star-roots")
+    mine = roots.select(F.col("node").alias("id"), F.col("root").alias("mine"))
+    its = roots.select(F.col("node").alias("first"), F.col("root").alias("its"))
+    placed = members.join(mine, "id", "left").join(its, "first", "left").withColumn("mine", F.coalesce("mine", "id")).withColumn("its", F.coalesce("its", "first"))
+    placed = scratch.write(placed, "placed")
+    apart = placed.where("mine <> its").select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("mine").alias("ra"))
+    others = placed.where("id <> first").select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("mine").alias("rb"), (F.col("mine") != F.col("its")).alias("too"))
+    rest = apart.join(others, "bucket").where((F.col("ra") != F.col("rb")) & fits("na", "nb") & (~F.col("too") | (F.col("a") < F.col("b"))))
+    rest = scratch.write(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    return near.unionByName(verified(rest, sets, least))
+
+
+def deduplicate(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each group of near-duplicates, with all columns: the one of the smallest key, then the smallest hash of its text.
+
+    Documents are linked whose sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more.  At 0.8 a
+    link is missed with probability 0.0007, and less above.  Of rows equal in key and text one stays.  Null keys come after all
+    others; null and empty texts are one group; an empty table gives an empty result; extra columns are kept.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    tagged = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text], docs[text].isNull()).alias("th"))
+    rows = scratch.write(sketches(tagged, shingle), "rows")
+    distinct = rows.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = scratch.write(distinct, "distinct")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts = scratch.write(distinct.join(ids, "id").select("id", F.col("first.th").alias("th")), "texts")
+        found = tagged.select("th", "text").join(texts, "th").select("id", "text")
+        return shingle_sets(found.groupBy("id").agg(F.min("text").alias("text")), shingle)
+
+    roots = connected(links(distinct, sets_of, scratch, least), scratch)
+    groups = distinct.join(roots, distinct["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+    return one_of_each(docs, groups, rows, scratch, text, key)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from granary.llm import decontam, hilbert, langid, mixing, quality, sharding, simhash, suffix, toolchat, toxicity
+from granary.llm import decontam, hilbert, langid, mixing, quality, sharding, similar, simhash, suffix, toolchat, toxicity
 from granary.llm.common import Scratch
 from granary.llm.components import connected
 
@@ -466,3 +466,66 @@ def test_wide_fingerprints_find_similar_texts(spark):
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {groups[r.doc_id] for r in kept} == set(range(60)) and len(kept) <= 66
     assert simhash.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def edited(rng, words, similarity, tag):
+    """A copy whose five-word Jaccard similarity is ``similarity`` or just above: single words are replaced, far enough apart."""
+    grams = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    mine, base = list(words), grams(words)
+    for k, at in enumerate(rng.sample(range(0, len(words), 5), len(words) // 5)):
+        trial = [*mine[:at], f"{tag}x{k}", *mine[at + 1 :]]
+        other = grams(trial)
+        if len(base & other) / len(base | other) < similarity:
+            break
+        mine = trial
+    other = grams(mine)
+    return " ".join(mine), len(base & other) / len(base | other)
+
+
+def test_similar_texts_are_found_and_no_others(spark):
+    rng = random.Random(31)
+    rows, close, far = [], [], []
+    for g in range(400):
+        words = [f"{g}w{rng.randrange(10**6)}" for _ in range(400)]
+        text, s = edited(rng, words, 0.8 if g % 2 else 0.7, f"e{g}")
+        (close if s >= 0.8 else far).append(g)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, text)]
+    assert len(close) == 200 and len(far) == 200
+    kept = {r.doc_id for r in similar.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= {2 * g for g in range(400)}
+    assert sum(2 * g + 1 in kept for g in close) <= 2, "pairs at 0.8 are linked"
+    assert all(2 * g + 1 in kept for g in far), "pairs at 0.7 aren't"
+
+
+def test_similar_groups_by_brute_force(spark, docs):
+    rng = random.Random(32)
+    base = prose(rng, 120).split()
+    texts = []
+    for i in range(120):  # copies of copies, so that many are linked only through others
+        words = list(base if i < 40 else texts[rng.randrange(len(texts))].split())
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(120)] = f"n{rng.randrange(50)}"
+        texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (500, None), (501, ""), (502, "two words"), (503, "Two  Words"), (5, texts[5])]
+    sets = {t: frozenset(similar.grams(raw(t)).tolist()) for _, t in rows}
+    points = sorted(set(sets.values()), key=sorted)
+    root = {p: p for p in points}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in points:
+        for b in points:
+            if a and b and len(a & b) / len(a | b) >= 0.8:
+                root[find(a)] = find(b)
+    kept = similar.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            r = find(sets[t])
+            least[r] = min(i, least.get(r, i))
+    assert sorted(r.doc_id for r in kept) == sorted(least.values()) and len(least) > 3
+    assert similar.deduplicate(docs.limit(0)).count() == 0
+    assert set(similar.deduplicate(docs).columns) == set(docs.columns)
