@@ -42,7 +42,7 @@ def words_of(raw: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over word numbers, with what a window or a whole short item needs at each state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -151,13 +151,13 @@ class Automaton:
         return spans, found
 
 
-def blocks_of(benchmark: DataFrame, text: str = "text", key: str = "item_id", block_words: int = BLOCK_WORDS) -> list[list[tuple[str, list[bytes]]]]:
-    """The test items as words, in blocks of bounded size.  Items without words have no window and are left out."""
-    blocks: list[list[tuple[str, list[bytes]]]] = []
+def blocks_of(benchmark: DataFrame, text: str = "text", key: str = "item_id", block_words: int = BLOCK_WORDS) -> list[list[tuple[str | None, list[bytes]]]]:
+    """The test items as words, in blocks of bounded size.  Items without words have no window and are left out; null keys are kept."""
+    blocks: list[list[tuple[str | None, list[bytes]]]] = []
     room = 0
     for row in benchmark.select(benchmark[key].cast("string").alias("k"), utf8(benchmark[text]).alias("t")).toLocalIterator():
         words = words_of(bytes(row.t))
-        if words and row.k is not None:
+        if words:
             if len(words) > room:
                 blocks.append([])
                 room = block_words
@@ -169,7 +169,7 @@ def blocks_of(benchmark: DataFrame, text: str = "text", key: str = "item_id", bl
 MATCHES = "n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>"
 
 
-def find_matches(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str = "text", window: int = WINDOW) -> DataFrame:
+def find_matches(docs: DataFrame, items: list[tuple[str | None, list[bytes]]], text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without its text, with ``n_words, n_hit, items, spans`` (spans of hit words) for one block of items."""
     rest = [c for c in docs.columns if c != text]
     carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias("_text"))
@@ -186,7 +186,7 @@ def find_matches(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: st
             hit, found = machine.match(words) if words else ([], set())
             n_words.append(len(words))
             n_hit.append(sum(b - a for a, b in hit))
-            names.append(sorted({machine.names[i] for i in found}))
+            names.append(sorted({machine.names[i] for i in found}, key=lambda name: (name is None, name or "")))
             spans.append([{"begin": a, "end": b} for a, b in hit])
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         columns = [*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, span)]
@@ -251,7 +251,8 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: i
     """For each row: ``key, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     Null and empty texts have no words and are clean; null keys and repeated rows get a row each; an
-    empty benchmark hits nothing.  Extra columns play no part.
+    empty benchmark hits nothing.  Items with a null id are hit like any other: together they count as one
+    item, which has no place in ``items_sha256``.  Extra columns play no part.
     """
     blocks = blocks_of(benchmark, block_words=block_words) or [[]]
     rows = docs.select(F.col(key).alias("key"), "text")

@@ -13,6 +13,7 @@ import xxhash
 from granary.llm import decontam, hilbert, langid, mixing, quality, sharding, similar, simhash, suffix, toolchat, toxicity
 from granary.llm.common import Scratch
 from granary.llm.components import connected
+from granary.llm.sql import ORACLE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, shard int, row string, fp string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -529,3 +530,31 @@ def test_similar_groups_by_brute_force(spark, docs):
     assert sorted(r.doc_id for r in kept) == sorted(least.values()) and len(least) > 3
     assert similar.deduplicate(docs.limit(0)).count() == 0
     assert set(similar.deduplicate(docs).columns) == set(docs.columns)
+
+
+@pytest.mark.parametrize("block", [2_000_000, 15])
+def test_items_with_a_null_id_are_hit(spark, block):
+    words = [f"w{i}" for i in range(60)]
+    items = [(None, " ".join(words[:12])), (7, " ".join(words[20:32])), (None, " ".join(words[40:52]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(words), f"so {items[0][1]} on", f"so {items[1][1]} on"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    got = {r.doc_id: tuple(r)[1:] for r in decontam.report(docs, bench, block_words=block).collect()}
+    assert got == {0: (60, 36, 2, sha("7"), True), 1: (14, 12, 1, sha(""), True), 2: (14, 12, 1, sha("7"), True)}
+    assert {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, block_words=block).collect()}[1] == "so  on"
+
+
+def test_null_ids_agree_with_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    words = [f"w{i}" for i in range(60)]
+    docs = [(0, " ".join(words)), (1, " ".join(words[:15])), (2, "w1 w2")]
+    items = [(None, " ".join(words[:12])), (7, " ".join(words[20:32])), (None, " ".join(words[40:52]))]
+    con = duckdb.connect()
+    for table, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {table} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {table} VALUES (?, ?)", rows)
+    got = decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = con.sql(ORACLE["op5_decontamination"]).select(*names).fetchall()
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want)
