@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from granary.llm.common import map_batches, utf8
 
@@ -166,6 +167,8 @@ def blocks_of(benchmark: DataFrame, text: str = "text", key: str = "item_id", bl
     return blocks
 
 
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+SPANS_TYPE = ArrayType(StructType([StructField("begin", LongType()), StructField("end", LongType())]))
 MATCHES = "n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>"
 
 
@@ -188,8 +191,7 @@ def find_matches(docs: DataFrame, items: list[tuple[str | None, list[bytes]]], t
             n_hit.append(sum(b - a for a, b in hit))
             names.append(sorted({machine.names[i] for i in found}, key=lambda name: (name is None, name or "")))
             spans.append([{"begin": a, "end": b} for a, b in hit])
-        span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        columns = [*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, span)]
+        columns = [*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, SPANS)]
         return pa.RecordBatch.from_arrays(columns, names=[*rest, "n_words", "n_hit", "items", "spans"])
 
     return map_batches(carried, run, f"{schema}, {MATCHES}" if rest else MATCHES)
@@ -204,34 +206,52 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0,
 
     A text over a limit (more than ``max_words`` hit words and more than ``max_share`` of its words)
     loses its hit words with what stands between them; other texts, null and empty ones included, stay
-    as they are, and so does every other column.  An empty benchmark changes nothing.  Rows keep their number.
+    as they are, and so does every other column.  Spans of all blocks of items are found on the text as it came,
+    united, held against the limits and cut once.  An empty benchmark changes nothing.  Rows keep their number.
     """
-    out = docs
     blocks = blocks_of(benchmark, item_text, item_key, block_words)
     schema = docs.schema
-
-    for items in blocks:
+    at = docs.columns.index(text)
+    spare = "_spans" + "_" * max(map(len, docs.columns))  # no column of ``docs``
+    out = docs
+    for k, items in enumerate(blocks):
+        first, last = k == 0, k == len(blocks) - 1
         made: list[Automaton] = []
-        at = out.columns.index(text)
 
-        def run(batch: pa.RecordBatch, items=items, made=made, at=at) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch, items=items, made=made, first=first, last=last) -> pa.RecordBatch:
             if not made:
                 made.append(Automaton(items, window))
             texts = batch.column(at).to_pylist()
-            for i, value in enumerate(texts):
-                if value is None:
-                    continue
-                raw = value.encode()
+            known = [[]] * len(texts) if first else batch.column(batch.num_columns - 1).to_pylist()
+            columns = list(batch.columns if first else batch.columns[:-1])
+            names = batch.schema.names[: len(columns)]
+            united = []
+            for i, (value, before) in enumerate(zip(texts, known, strict=True)):
+                raw = (value or "").encode()
                 words = words_of(raw)
-                spans, _ = made[0].match(words) if words else ([], None)
+                spans = _united([*((s["begin"], s["end"]) for s in before), *(made[0].match(words)[0] if words else [])])
                 hit = sum(b - a for a, b in spans)
-                if hit > max_words and hit > max_share * len(words):
+                if last and hit > max_words and hit > max_share * len(words):
                     texts[i] = _without(raw, spans).decode()
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                united.append([{"begin": a, "end": b} for a, b in spans])
+            if last:
+                columns[at] = pa.array(texts, pa.string())
+            else:
+                columns, names = [*columns, pa.array(united, SPANS)], [*names, spare]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        out = map_batches(out, run, schema if last else StructType([*schema.fields, StructField(spare, SPANS_TYPE)]))
+    return out
+
 
-        out = map_batches(out, run, schema)
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """In order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
     return out
 
 

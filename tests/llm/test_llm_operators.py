@@ -558,3 +558,17 @@ def test_null_ids_agree_with_sql(spark):
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = con.sql(ORACLE["op5_decontamination"]).select(*names).fetchall()
     assert sorted(map(tuple, got.select(names).collect())) == sorted(want)
+
+
+def test_blocks_of_items_cut_as_one(spark):
+    words = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(words[:15])), (2, " ".join(words[7:20])), (3, " ".join(words[25:35]))]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    rows = [(0, "Lead " + ", ".join(words) + " tail", "a"), (1, None, "b"), (2, "", "c"), (3, "z " * 80 + " ".join(words[:20]), "d"), (4, " ".join([*words[:7], *words[0:15], *words[15:18]]), "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    cut = lambda **kw: {r.doc_id: (r.text, r.spans) for r in decontam.decontaminate(docs, bench, **kw).collect()}
+    one = cut()
+    assert one[0][0] == "Lead , w20, w21, w22, w23, w24, , w35, w36, w37, w38, w39 tail" and one[1] == (None, "b")
+    assert cut(block_words=15) == one
+    assert cut(max_words=19, block_words=15) == cut(max_words=19) and cut(max_words=19)[3][0] == "z " * 80
+    assert cut(max_share=0.19, block_words=15) == cut(max_share=0.19) and cut(max_share=0.21, block_words=15)[3][0] == rows[3][1]
