@@ -56,36 +56,70 @@ def _same_call(a: DataFrame, b: DataFrame, left: str, right: str) -> Column:
     return a["conv_id"].eqNullSafe(b["conv_id"]) & (a[left] == b[right])
 
 
-def _levels(calls: DataFrame, scratch: Scratch, most_rounds: int) -> tuple[DataFrame, DataFrame]:
+def _levels(calls: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
     """Levels of the calls in conversations where some call depends on one that doesn't stand before it.
 
-    ``conv_id, call_id, level`` after relaxing every dependency until nothing changes, and the calls that
-    still change after ``most_rounds``: those in or behind a cycle (or a chain of that length).
+    ``conv_id, call_id, level`` of the calls that come after a dependency out of turn order: the most such
+    dependencies on a way to the call (all others are level 0, and by ``pos`` in order), and ``conv_id, call_id``
+    of those in or behind a cycle.  Only what is downstream of a dependency out of order is looked at: calls
+    without open dependencies are peeled off until none can be.  Rounds grow with the longest chain there.
     """
-    at = calls.groupBy("conv_id", "call_id").agg(F.min("pos").alias("pos"))
+    at = calls.groupBy("conv_id", "call_id").agg(F.min("pos").alias("pos"), F.max("pos").alias("end"))
     needs = calls.select("conv_id", "call_id", "pos", F.explode("after").alias("need"))
-    target = at.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("i2"), F.col("pos").alias("p2"))
-    edges = scratch.write(needs.join(target, needs["conv_id"].eqNullSafe(target["c2"]) & (needs["need"] == target["i2"])).select("conv_id", "call_id", "pos", "need", "p2"), "edges")
+    target = at.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("i2"), F.col("pos").alias("p2"), F.col("end").alias("e2"))
+    edges = scratch.write(needs.join(target, needs["conv_id"].eqNullSafe(target["c2"]) & (needs["need"] == target["i2"])).select("conv_id", "call_id", "pos", "need", "p2", "e2"), "edges")
     wrong = scratch.write(edges.where("p2 >= pos").select(F.col("conv_id").alias("w")).distinct(), "wrong")
     if wrong.isEmpty():
         return None, None
-    edges = edges.join(wrong, edges["conv_id"].eqNullSafe(wrong["w"]), "left_semi").select("conv_id", "call_id", "need").distinct()
-    level = at.join(wrong, at["conv_id"].eqNullSafe(wrong["w"]), "left_semi").select("conv_id", "call_id", F.lit(0).alias("level"))
-    level = scratch.write(level, "level0")
-    for i in range(most_rounds):
-        of = level.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("i2"), F.col("level").alias("l2"))
-        up = edges.join(of, edges["conv_id"].eqNullSafe(of["c2"]) & (edges["need"] == of["i2"])).groupBy("conv_id", "call_id").agg((F.max("l2") + 1).alias("up"))
-        up = up.select(F.col("conv_id").alias("c3"), F.col("call_id").alias("i3"), "up")
-        nxt = level.join(up, level["conv_id"].eqNullSafe(up["c3"]) & (level["call_id"] == up["i3"]), "left")
-        nxt = scratch.write(nxt.select("conv_id", "call_id", F.coalesce("up", F.lit(0)).alias("level"), (F.coalesce("up", F.lit(0)) != F.col("level")).alias("moved")), f"level{i + 1}")
-        moved = nxt.where("moved").select(F.col("conv_id").alias("c4"), F.col("call_id").alias("i4"))
-        level = nxt.drop("moved")
-        if moved.isEmpty():
-            return level, None
-    return level, moved
-
-
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, most_rounds: int = 32) -> DataFrame:
+    edges = edges.join(wrong, edges["conv_id"].eqNullSafe(wrong["w"]), "left_semi")
+    # A dependency counts unless all rows of the needed call stand before all of the call's.
+    edges = scratch.write(edges.groupBy("conv_id", "call_id", "need").agg(F.max((F.col("e2") >= F.col("pos")).cast("long")).alias("counts")), "pairs")
+
+    def meet(of: DataFrame, by: str, how: str = "inner") -> DataFrame:
+        named = of.withColumnsRenamed({"conv_id": "c3", "call_id": "i3"})
+        return edges_open.join(named, edges_open["conv_id"].eqNullSafe(named["c3"]) & (edges_open[by] == named["i3"]), how)
+
+    edges_open = edges
+    fresh = scratch.write(edges.where("counts > 0").select("conv_id", "call_id").distinct(), "behind0")
+    behind, step = fresh, 0
+    while not fresh.isEmpty():
+        step += 1
+        nxt = meet(fresh, "need").select("conv_id", "call_id").distinct()
+        old = behind.withColumnsRenamed({"conv_id": "c4", "call_id": "i4"})
+        fresh = scratch.write(nxt.join(old, nxt["conv_id"].eqNullSafe(old["c4"]) & (nxt["call_id"] == old["i4"]), "left_anti"), f"fresh{step}")
+        behind = scratch.write(behind.unionByName(fresh), f"behind{step}")
+        scratch.drop(f"behind{step - 1}", f"fresh{step - 1}")
+
+    # Open: calls downstream that aren't peeled yet, with the level that their peeled dependencies ask for.
+    # An edge is open as long as its need is; needs that aren't downstream have level 0.
+    edges_open = edges
+    inner = meet(behind, "need", "left_semi")
+    base = edges.groupBy("conv_id", "call_id").agg(F.max("counts").alias("least"))
+    todo = behind.withColumnsRenamed({"conv_id": "c5", "call_id": "i5"})
+    base = base.join(todo, base["conv_id"].eqNullSafe(todo["c5"]) & (base["call_id"] == todo["i5"]), "left_semi")
+    edges_open = scratch.write(inner, "open0")
+    todo = scratch.write(base.select("conv_id", "call_id", F.col("least").alias("level")), "todo0")
+    done, step = None, 0
+    while True:
+        held = edges_open.select(F.col("conv_id").alias("c4"), F.col("call_id").alias("i4")).distinct()
+        free = scratch.write(todo.join(held, todo["conv_id"].eqNullSafe(held["c4"]) & (todo["call_id"] == held["i4"]), "left_anti"), f"free{step}")
+        if free.isEmpty():
+            break
+        done = free if done is None else done.unionByName(free)
+        rest = todo.join(held, todo["conv_id"].eqNullSafe(held["c4"]) & (todo["call_id"] == held["i4"]), "left_semi")
+        asked = meet(free, "need").groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("counts")).alias("up")).withColumnsRenamed({"conv_id": "c6", "call_id": "i6"})
+        rest = rest.join(asked, rest["conv_id"].eqNullSafe(asked["c6"]) & (rest["call_id"] == asked["i6"]), "left").select("conv_id", "call_id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))
+        left = meet(free.select("conv_id", "call_id"), "need", "left_anti")
+        step += 1
+        todo, edges_open = scratch.write(rest, f"todo{step}"), scratch.write(left, f"open{step}")
+        scratch.drop(f"todo{step - 1}", f"open{step - 1}")
+        if step % 20 == 0:  # a plan of few tables
+            done = scratch.write(done, f"done{step}")
+    cyclic = todo.select(F.col("conv_id").alias("c4"), F.col("call_id").alias("i4"))
+    return (todo.limit(0) if done is None else done), cyclic
+
+
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """A row for each call: ``conv_id, call_id, step, linked, cyclic, valid, errors, n_results, json``.
 
     ``calls`` has ``conv_id, call_id, name, arguments (JSON), after (ids it depends on), pos``, ``results``
@@ -99,7 +133,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, mo
     """
     scratch = Scratch(calls.sparkSession, "toolchat")
     calls = scratch.write(calls, "calls")
-    level, cyclic = _levels(calls, scratch, most_rounds)
+    level, cyclic = _levels(calls, scratch)
     placed = calls.withColumn("level", F.lit(0)).withColumn("cyclic", F.lit(False))
     if level is not None:
         of = level.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("i2"), F.col("level").alias("l2"))

@@ -572,3 +572,20 @@ def test_blocks_of_items_cut_as_one(spark):
     assert cut(block_words=15) == one
     assert cut(max_words=19, block_words=15) == cut(max_words=19) and cut(max_words=19)[3][0] == "z " * 80
     assert cut(max_share=0.19, block_words=15) == cut(max_share=0.19) and cut(max_share=0.21, block_words=15)[3][0] == rows[3][1]
+
+
+def test_long_chains_of_calls_are_not_cycles(spark):
+    n = 40
+    calls = [("chain", f"k{i}", [f"k{i - 1}"] if i else None, n - i) for i in range(n)]  # each before the one it needs
+    calls += [("hot", f"turn-{i}", [f"turn-{i - 2}"] if i >= 2 else None, i) for i in range(300)]
+    calls += [("hot", "t1", ["t0", "turn-8"], 9), ("hot", "t0", None, 9), ("hot", "t2", ["t1"], 11)]
+    calls += [("ring", "a", ["c"], 1), ("ring", "b", ["a"], 2), ("ring", "c", ["b"], 3), ("ring", "d", ["c"], 4), ("ring", "e", None, 5), ("ring", "self", ["self"], 6), ("ring", "f", ["e", "g"], 7), ("ring", "g", None, 8)]
+    frame = spark.createDataFrame([(c, i, "f", "{}", a, p) for c, i, a, p in calls], "conv_id string, call_id string, name string, arguments string, after array<string>, pos long")
+    none = spark.createDataFrame([], "conv_id string, call_id string, text string"), spark.createDataFrame([], "name string, field string, kind string, required boolean")
+    out = {(r.conv_id, r.call_id): r for r in toolchat.link_tool_calls(frame, *none).collect()}
+    assert len(out) == len(calls)
+    assert {i for (c, i), r in out.items() if r.cyclic} == {"a", "b", "c", "d", "self"}
+    for c, i, after, _ in calls:
+        for need in after or []:
+            assert out[c, i].cyclic or out[c, need].step < out[c, i].step
+    assert all(sorted(r.step for (c, _), r in out.items() if c == name) == list(range(k)) for name, k in (("chain", n), ("hot", 303), ("ring", 8)))
