@@ -19,8 +19,8 @@ from granary.llm.subword import buckets, softmax
 
 BITS = 13
 WIDTH = 16
-#: Labelled texts that a model is fitted on, over all languages; languages that are told apart.
-SAMPLE, LANGUAGES = 2400, 64
+#: Labelled texts that a model is fitted on, over all languages, and those of each language where there are many.
+SAMPLE, EACH = 2400, 12
 #: Share of right answers that may be rejected.
 LOST = 0.01
 
@@ -80,28 +80,30 @@ def train(counts: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
 def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """A model from rows with a text and a label; None without any.
 
-    The sample is bounded: ``sample`` rows over the (at most LANGUAGES most frequent) languages in equal
-    parts, picked by a hash of the row, whole texts.
+    Every language with a labelled text is learnt.  The sample is bounded for each: its part of ``sample`` rows, or
+    EACH where there are more than ``sample / EACH`` languages; picked by a hash of the row, whole texts.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    seen = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    seen = rows.groupBy(lang).count().collect()
     if not seen:
         return None
     languages = sorted(r[lang] for r in seen)
-    each = max(1, sample // len(languages))
-    share = F.coalesce(*[F.when(F.col(lang) == r[lang], F.lit(min(1.0, each / r["count"]))) for r in seen], F.lit(0.0))
-    picked = rows.where(F.pmod(F.xxhash64(text, lang), F.lit(1 << 30)) / float(1 << 30) < share)
+    each = max(EACH, sample // len(languages))
+    shares = labelled.sparkSession.createDataFrame([(r[lang], min(1.0, each / r["count"])) for r in seen], "_lang string, _share double")
+    hashed = F.pmod(F.xxhash64(text, lang), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(F.broadcast(shares), rows[lang] == shares["_lang"]).where(hashed < F.col("_share"))
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = [_shares(counts_of(raw)).tobytes() for raw in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], names=["lang", "counts"])
 
-    got = map_batches(picked.select(F.col(lang).alias("lang"), utf8(text).alias("raw")), features, "lang string, counts binary").limit(2 * sample).toArrow()
+    got = map_batches(picked.select(F.col(lang).alias("lang"), utf8(text).alias("raw")), features, "lang string, counts binary").limit(2 * each * len(languages)).toArrow()
     got = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     if not got:
         return None
+    number = {name: i for i, name in enumerate(languages)}
     shares = np.stack([np.frombuffer(x, np.float16) for _, x in got])
-    return train(shares, np.array([languages.index(name) for name, _ in got]), languages)
+    return train(shares, np.array([number[name] for name, _ in got]), languages)
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:

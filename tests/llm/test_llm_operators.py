@@ -589,3 +589,13 @@ def test_long_chains_of_calls_are_not_cycles(spark):
         for need in after or []:
             assert out[c, i].cyclic or out[c, need].step < out[c, i].step
     assert all(sorted(r.step for (c, _), r in out.items() if c == name) == list(range(k)) for name, k in (("chain", n), ("hot", 303), ("ring", 8)))
+
+
+def test_all_languages_are_learnt(spark):
+    rng = random.Random(41)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(80)}
+    rows = [(i, prose(rng, 40, words[lang]), lang) for i, lang in enumerate(lang for lang in words for _ in range(20))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(words)
+    texts = [(lang, model.languages[int(model.probabilities(langid.counts_of(prose(rng, 40, words[lang]).encode())[None, :])[0].argmax())]) for lang in words]
+    assert np.mean([a == b for a, b in texts]) > 0.9 and len({b for _, b in texts}) > 64
