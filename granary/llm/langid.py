@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import fold, map_batches, utf8
@@ -77,11 +77,12 @@ def train(counts: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     return model
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang") -> LanguageModel | None:
+def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel | None:
     """A model from rows with a text and a label; None without any.
 
     Every language with a labelled text is learnt.  The sample is bounded for each: its part of ``sample`` rows, or
-    EACH where there are more than ``sample / EACH`` languages; picked by a hash of the row, whole texts.
+    EACH where there are more than ``sample / EACH`` languages; those of the smallest hashes of ``key`` (if
+    there is one), text and language; whole texts, and the same ones at every run.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     seen = rows.groupBy(lang).count().collect()
@@ -89,15 +90,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str
         return None
     languages = sorted(r[lang] for r in seen)
     each = max(EACH, sample // len(languages))
-    shares = labelled.sparkSession.createDataFrame([(r[lang], min(1.0, each / r["count"])) for r in seen], "_lang string, _share double")
-    hashed = F.pmod(F.xxhash64(text, lang), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(F.broadcast(shares), rows[lang] == shares["_lang"]).where(hashed < F.col("_share"))
+    # Twice as many as are taken, and some: enough of each language, and few to sort.
+    shares = labelled.sparkSession.createDataFrame([(r[lang], min(1.0, (2 * each + 20) / r["count"])) for r in seen], "_lang string, _share double")
+    hashed = F.xxhash64(*[c for c in (key,) if c in rows.columns], text, lang)
+    likely = rows.withColumn("_hash", hashed).join(F.broadcast(shares), rows[lang] == shares["_lang"]).where(F.pmod("_hash", F.lit(1 << 30)) / float(1 << 30) < F.col("_share"))
+    order = Window.partitionBy(lang).orderBy(F.pmod("_hash", F.lit(1 << 30)), "_hash")
+    picked = likely.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= each)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = [_shares(counts_of(raw)).tobytes() for raw in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], names=["lang", "counts"])
 
-    got = map_batches(picked.select(F.col(lang).alias("lang"), utf8(text).alias("raw")), features, "lang string, counts binary").limit(2 * each * len(languages)).toArrow()
+    got = map_batches(picked.select(F.col(lang).alias("lang"), utf8(text).alias("raw")), features, "lang string, counts binary").toArrow()
     got = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     if not got:
         return None

@@ -599,3 +599,12 @@ def test_all_languages_are_learnt(spark):
     assert model.languages == sorted(words)
     texts = [(lang, model.languages[int(model.probabilities(langid.counts_of(prose(rng, 40, words[lang]).encode())[None, :])[0].argmax())]) for lang in words]
     assert np.mean([a == b for a, b in texts]) > 0.9 and len({b for _, b in texts}) > 64
+
+
+def test_copies_do_not_crowd_out_languages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda counts, labels, languages: seen.append(Counter(labels.tolist())))
+    for k in range(3):  # one of these texts or another would be picked as a whole group
+        rows = [(i, f"copied words {k}", "aa") for i in range(3000)] + [(3000 + i, f"some other text {i}", "bb") for i in range(400)]
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
+    assert seen == [Counter({0: 100, 1: 100})] * 3
