@@ -9,17 +9,22 @@ segments differ in at most the whole radius.  What meets is verified on the comp
 Two segments of 32 bits (for the default 64-bit fingerprint and radius 4) make 66 keys a fingerprint;
 among n unrelated fingerprints a key of 32 bits holds about 33 n / 2**32 of them, so tables
 stay sparse for billions of documents.
+
+For near-duplicates at a Jaccard similarity (``deduplicate``) the width of fingerprints and segments follows from the
+number of documents (``plan``), and what the fingerprints link is verified on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import Scratch, map_batches, utf8
@@ -31,8 +36,8 @@ SEGMENTS = 2
 SHINGLE = 4
 #: Fingerprints under one key that a task compares with each other; larger buckets are compared block by block.
 BUCKET = 20_000
-#: Buckets up to this size are compared pair by pair, all of a batch at once.
-FEW = 12
+#: Buckets up to this size are compared pair by pair, all of a stretch at once; rows of a stretch.
+FEW, STRETCH = 64, 1 << 15
 
 
 def _votes(values: np.ndarray) -> np.ndarray:
@@ -43,43 +48,44 @@ def _votes(values: np.ndarray) -> np.ndarray:
     return counts
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE, words64: int = 1) -> list[int]:
-    """SimHash over word shingles, repeats included, by XXH64 with seed 42 (43, ... for further 64 bits); 0 without words."""
+def _majority(values: np.ndarray) -> int:
+    """The bits that over half the values have."""
+    return int.from_bytes(np.packbits(2 * _votes(values) > len(values)).tobytes(), "big")
+
+
+def shingle_hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles in order, repeats included; of the whole sequence if it is shorter; none without words."""
     words = raw.lower().split()  # on ASCII blanks; lower-cases A-Z only
     if not words:
-        return [0] * words64
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
     h = xxhash.xxh64_intdigest
-    out = []
-    for seed in range(SEED, SEED + words64):
-        values = np.fromiter([h(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64, n)
-        out.append(int("".join("1" if 2 * c > n else "0" for c in _votes(values).tolist()), 2))
-    return out
+    return np.fromiter([h(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64, n)
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash over word shingles, repeats included; 0 without words."""
+    values = shingle_hashes(raw, shingle)
+    return _majority(values) if len(values) else 0
 
 
-def _names(words64: int) -> list[str]:
-    return ["fp"] if words64 == 1 else [f"fp{i}" for i in range(words64)]
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, words64: int = 1) -> DataFrame:
-    """``docs`` without its text, with ``fp`` (or ``fp0, fp1, ...``): the fingerprint as signed 64-bit numbers."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` without its text, with ``fp``: the fingerprint as a signed 64-bit number."""
     rest = [c for c in docs.columns if c != text]
     carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias("_text"))
-    names = _names(words64)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1]), *(f"{x} long" for x in names)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1]), "fp long"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(raw, shingle, words64) for raw in batch.column(batch.num_columns - 1).to_pylist()]
-        made = [pa.array([_signed(f[i]) for f in fps], pa.int64()) for i in range(words64)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*rest, *names])
+        made = pa.array([_signed(fingerprint(raw, shingle)) for raw in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*rest, "fp"])
 
     return map_batches(carried, run, schema)
 
@@ -89,11 +95,32 @@ def ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def segments_of(segments: int, words64: int = 1) -> list[tuple[int, int, int]]:
-    """(64-bit word, shift, width) of nearly equal segments, as many in each word."""
-    each = segments // words64
-    edges = [64 * i // each for i in range(each + 1)]
-    return [(w, a, b - a) for w in range(words64) for a, b in zip(edges, edges[1:], strict=False)]
+@dataclass(frozen=True)
+class Segments:
+    """``count`` segments of ``width`` bits (64 at most) side by side in fingerprints of ``words64`` 64-bit words; they may cross from word to word."""
+
+    count: int
+    width: int
+    words64: int = 1
+
+    def _at(self, i: int) -> tuple[int, int, int]:
+        """Word, shift, and bits that lie in the next word."""
+        w, shift = divmod(i * self.width, 64)
+        return w, shift, max(0, shift + self.width - 64)
+
+    def values(self, fps: list[np.ndarray], i: int) -> np.ndarray:
+        w, shift, over = self._at(i)
+        out = fps[w] >> np.uint64(shift)
+        if over:
+            out = out | (fps[w + 1] << np.uint64(64 - shift))
+        return out & np.uint64((1 << self.width) - 1)
+
+    def column(self, names: list[str], i: int) -> Column:
+        w, shift, over = self._at(i)
+        out = F.shiftrightunsigned(names[w], shift)
+        if over:
+            out = out.bitwiseOR(F.shiftleft(names[w + 1], 64 - shift))
+        return out.bitwiseAND(F.lit((1 << self.width) - 1))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,45 +143,56 @@ def _trees(ids: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int
     return edges
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, within: int | None = None, words64: int = 1, bucket: int = BUCKET) -> DataFrame:
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the smallest node of each component of the edges ``a, b`` to its other nodes."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[a], least[b])
+        now = least.copy()
+        for side in (a, b, least[a], least[b]):
+            np.minimum.at(now, side, low)
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    other = least != np.arange(len(nodes))
+    return nodes[least[other]], nodes[other]
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, segments: Segments = Segments(SEGMENTS, 64 // SEGMENTS), within: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints within ``radius``: enough to connect whatever links connect.
 
     ``distinct`` has ``fp`` (whose value names the fingerprint) or ``id, fp0, fp1, ...``.  ``within`` is the radius of a
-    segment's ball; at ``radius // segments`` (the default) every link is found, a smaller one finds those of which
+    segment's ball; at ``radius // segments.count`` (the default) every link is found, a smaller one finds those of which
     some segment is that close.  A bucket of more than ``bucket`` fingerprints is dealt to blocks, and every pair of blocks
     is a group of its own, so that no task holds more than two blocks of a key.
     """
-    cut = segments_of(segments, words64)
-    whole = radius // segments if within is None else within
+    whole = radius // segments.count if within is None else within
     if whole % 2:
         raise ValueError("the ball's radius is halved between table and query: it has to be even")
-    masks = {width: np.array(ball(width, whole // 2), np.uint64) for _, _, width in cut}
-    names = _names(words64)
-    named = ["fp"] if words64 == 1 else ["id", *names]  # what travels: the fingerprint, and its name unless it is one
+    words64 = segments.words64
+    masks = np.array(ball(segments.width, whole // 2), np.uint64)
+    names = ["fp"] if words64 == 1 and "fp" in distinct.columns else [f"fp{i}" for i in range(words64)]
+    named = names if names == ["fp"] else ["id", *names]  # what travels: the fingerprint, and its name unless it is one
 
     # Keys with many fingerprints, found from the counts of plain segment values.
-    parts = [F.struct(F.lit(i).alias("s"), F.shiftrightunsigned(names[w], shift).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i, (w, shift, width) in enumerate(cut)]
+    parts = [F.struct(F.lit(i).alias("s"), segments.column(names, i).alias("v")) for i in range(segments.count)]
     values = distinct.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
-    share = max(len(m) for m in masks.values())  # a key of more than ``bucket`` has a value of more than bucket / share near it
-    heavy = values.groupBy("s", "v").count().where(F.col("count") * share > bucket)
+    heavy = values.groupBy("s", "v").count().where(F.col("count") * len(masks) > bucket)  # a key of more than ``bucket`` has such a value near it
 
     def near_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         s, v, n = (batch.column(i).to_numpy() for i in range(3))
-        keys, counts = [], []
-        for x, y, z in zip(s.tolist(), v.astype(np.uint64), n.tolist(), strict=True):
-            keys.append(((y ^ masks[cut[x][2]]) | np.uint64(x << 56)).astype(np.int64))
-            counts.append(np.full(len(keys[-1]), z))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["key", "n"])
+        keys = (v.astype(np.uint64)[:, None] ^ masks[None, :]) | (s.astype(np.uint64) << np.uint64(56))[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(n, len(masks)))], names=["key", "n"])
 
-    hot = map_batches(heavy, near_keys, "key long, n long").groupBy("key").agg((F.ceil(F.sum("n") / bucket) + 1).cast("int").alias("blocks"))
+    hot = map_batches(heavy, near_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > bucket)
+    hot = hot.select("key", (F.ceil(F.col("n") / bucket) + 1).cast("int").alias("blocks"))
 
     def keys_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [batch.column(batch.num_columns - words64 + w).to_numpy().view(np.uint64) for w in range(words64)]
-        keys = []
-        for i, (w, shift, width) in enumerate(cut):
-            value = (fps[w] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            keys.append((value[:, None] ^ masks[width][None, :]) | np.uint64(i << 56))
-        keys = np.concatenate(keys, axis=1)
+        keys = np.concatenate([(segments.values(fps, i)[:, None] ^ masks[None, :]) | np.uint64(i << 56) for i in range(segments.count)], axis=1)
         again = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
         return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in batch.columns)], names=["key", *named])
 
@@ -163,24 +201,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, w
     if not hot.isEmpty():
         dealt = table.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         mine = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
-        table = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        table = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or mine <> other").select(
             "key", *named, F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2")
         )
     else:
         table = table.select("key", *named, F.lit(0).alias("b1"), F.lit(0).alias("b2"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of equal (key, b1, b2) in sorted batches; the last group of a batch may go on in the next one."""
+        """Groups of equal (key, b1, b2) in sorted batches, a stretch of rows at a time; the last group of a stretch may go on in the next one."""
         held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns]))
-            last = held[-1][[0, -2, -1]]
-            if (last[:, 0] == last[:, -1]).all() and (held[0][[0, -2, -1], -1] == last[:, 0]).all():
-                continue  # one group all through
+            size += batch.num_rows
+            if size < STRETCH or (held[0][[0, -2, -1], -1] == held[-1][[0, -2, -1], -1]).all():
+                continue
             rows = np.concatenate(held, axis=1)
             starts = np.flatnonzero((rows[[0, -2, -1], 1:] != rows[[0, -2, -1], :-1]).any(axis=0)) + 1
             yield from emit(rows[1:-2, : starts[-1]], starts[:-1])
-            held = [rows[:, starts[-1] :]]
+            held, size = [rows[:, starts[-1] :]], rows.shape[1] - starts[-1]
         if held:
             rows = np.concatenate(held, axis=1)
             yield from emit(rows[1:-2], np.flatnonzero((rows[[0, -2, -1], 1:] != rows[[0, -2, -1], :-1]).any(axis=0)) + 1)
@@ -190,18 +229,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, w
         starts = np.concatenate(([0], cuts))
         sizes = np.diff(np.concatenate((starts, [len(ids)])))
         left = np.repeat(sizes, sizes) - (np.arange(len(ids)) - np.repeat(starts, sizes))  # rows of the group from here on
-        few = np.repeat(sizes <= FEW, sizes)
+        few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
         edges = []
-        for lag in range(1, min(FEW, sizes.max())):
-            at = np.flatnonzero(few & (left > lag))
-            at = at[_distances(fps[at], fps[at + lag]) <= radius]
-            edges.append(np.stack([ids[at], ids[at + lag]]))
+        for lag in range(1, FEW):
+            few = few[left[few] > lag]
+            if not len(few):
+                break
+            near = few[_distances(fps[few], fps[few + lag]) <= radius]
+            edges.append(np.stack([ids[near], ids[near + lag]]))
         for at, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
             if found := _trees(ids[at : at + n], fps[at : at + n], radius):
                 edges.append(np.array(found, np.int64).T)
         if edges and (out := np.concatenate(edges, axis=1)).shape[1]:
-            out = np.unique(np.sort(out, axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
+            a, b = _stars(out[0], out[1])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return table.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(compare, "a long, b long")
 
@@ -216,7 +257,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.write(fingerprints(docs.select(docs[key].alias("key"), docs[text].alias("text")), shingle=shingle), "rows")
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
-    edges = links(distinct, radius, segments, bucket=bucket)
+    edges = links(distinct, radius, Segments(segments, 64 // segments), bucket=bucket)
     roots = connected(edges, scratch)
     labelled = scratch.write(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "labelled")
     ids = scratch.write(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
@@ -229,9 +270,151 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: SimHash duplicates for a corpus: 128 bits over five-word shingles, of which 19 may differ.  The angle between shingle
-#: sets with Jaccard similarity 0.8 is 0.1515 half turns: 19.4 of 128 bits on average, so about half of such pairs differ in more.
-WIDE = {"shingle": 5, "words64": 2, "radius": 19, "segments": 6, "within": 2}
+# ---- near-duplicates at a similarity
+
+#: Shingles and the Jaccard similarity from which documents are linked.
+WORDS, LEAST = 5, 0.8
+#: Share of the pairs at just that similarity that segments may miss, radius of a segment's ball, and the bits by which segments are shorter than the logarithm of the number of documents.
+MISSED, WITHIN, CROWDING = 0.004, 2, 2
+#: Standard deviations by which the radius exceeds the mean distance of pairs at just that similarity.
+DEVIATIONS = 3.0
+#: Shingles and sets of a block; a task compares two blocks at a time.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 20, 1024
+
+
+@dataclass(frozen=True)
+class Plan:
+    segments: Segments
+    radius: int
+    meet: float  # probability that some segment of a pair at the least similarity lies within the ball
+
+
+def plan(documents: int, least: float = LEAST, missed: float = MISSED) -> Plan:
+    """Fingerprints for so many documents.
+
+    Sets of Jaccard similarity s have an angle whose cosine is 2 s / (1 + s), so each bit differs with probability p = angle / pi.
+    Segments are CROWDING bits shorter than the logarithm of the number of documents, which keeps buckets small
+    at any number; of segments there are as many as it takes for all but ``missed`` of the pairs at ``least`` to meet.
+    The radius is the mean distance of such pairs plus DEVIATIONS standard deviations.
+    """
+    width = min(48, max(12, math.ceil(math.log2(max(2, documents))) - CROWDING))
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    close = sum(math.comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(WITHIN + 1))
+    count = math.ceil(math.log(missed) / math.log(1 - close))
+    words64 = max(2, -(-count * width // 64))
+    bits = 64 * words64
+    return Plan(Segments(count, width, words64), math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p))), 1 - (1 - close) ** count)
+
+
+def shingle_set(raw: bytes, shingle: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct word shingles, sorted."""
+    return np.unique(shingle_hashes(raw, shingle))
+
+
+def set_name(values: np.ndarray) -> int:
+    """64-bit hash of a shingle set: equal sets are one document from here on."""
+    return _signed(xxhash.xxh64_intdigest(values.tobytes(), SEED))
+
+
+def set_fingerprint(values: np.ndarray, words64: int) -> list[int]:
+    """SimHash over a shingle set; further words of 64 bits come from the hashes mixed again."""
+    out = []
+    for i in range(words64):
+        h = values + np.uint64((i * 0x9E3779B97F4A7C15) % (1 << 64))
+        if i:
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+        out.append(_signed(_majority(h)) if len(h) else 0)
+    return out
+
+
+def sketches(tagged: DataFrame, words64: int, shingle: int = WORDS) -> DataFrame:
+    """``key, th, id, n, fp0, fp1, ...`` of ``key, th, text``: the shingle set's hash, its size, its fingerprint."""
+    names = [f"fp{i}" for i in range(words64)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(raw, shingle) for raw in batch.column(2).to_pylist()]
+        fps = [set_fingerprint(s, words64) for s in sets]
+        made = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(words64))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["key", "th", "id", "n", *names])
+
+    kind = tagged.schema["key"].dataType.simpleString()
+    return map_batches(tagged.select("key", "th", utf8("text").alias("raw")), run, ", ".join([f"key {kind}", "th long", "id long", "n long", *(f"{c} long" for c in names)]))
+
+
+def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges (places in ``sets``) that connect what pairs with a Jaccard similarity of ``least`` connect.
+
+    Sizes of intersections are products of an incidence matrix with its transpose, a stretch of shingles at a time;
+    shingles of one set only add nothing.
+    """
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    shared = np.bincount(column) > 1
+    kept = shared[column]
+    owner, column = owner[kept], (np.cumsum(shared) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    width = max(64, (1 << 22) // n)
+    for first in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, (first, first + width))
+        part = np.zeros((n, width), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    near = both / (sizes[:, None] + sizes[None, :] - both.astype(np.float64)) >= least
+    edges: list[tuple[int, int]] = []
+    left = np.ones(n, bool)
+    for root in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+        if not left[root]:
+            continue
+        left[root], front = False, np.array([root])
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & left)
+            left[front] = False
+            edges.extend((root, x) for x in front.tolist())
+    return edges
+
+
+def verified(members: DataFrame, sets: DataFrame, least: float = LEAST, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """Edges ``a, b`` that connect what similar pairs within the groups of ``members`` (``id, n, root``) connect; ``sets`` has ``id, grams``.
+
+    A group larger than a block is dealt to blocks, and every pair of blocks is compared on its own.
+    """
+    sizes = members.groupBy("root").agg(F.count("*").alias("count"), F.sum("n").alias("sum"))
+    blocks = F.ceil(F.greatest(F.col("count") / block_sets, F.col("sum") / block_shingles)).cast("int")
+    dealt = members.join(sizes.select("root", blocks.alias("blocks")), "root")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.where("blocks = 1 or mine <> other").select("root", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "id")
+    table = dealt.join(sets, "id").select("root", "b1", "b2", "id", "grams")
+
+    def solve(ids: list[int], grams: list[bytes]) -> pa.RecordBatch | None:
+        if len(ids) < 2:
+            return None
+        edges = similar_forest([np.frombuffer(g, np.uint64) for g in grams], least)
+        if not edges:
+            return None
+        a, b = (np.array(ids, np.int64)[list(side)] for side in zip(*edges, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, grams = None, [], []
+        for batch in batches:
+            for root, b1, b2, i, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, b1, b2) != last:
+                    if (out := solve(ids, grams)) is not None:
+                        yield out
+                    last, ids, grams = (root, b1, b2), [], []
+                ids.append(i)
+                grams.append(g)
+        if (out := solve(ids, grams)) is not None:
+            yield out
+
+    return table.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2").mapInArrow(run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, rows: DataFrame, scratch: Scratch, text: str, key: str) -> DataFrame:
@@ -245,19 +428,34 @@ def one_of_each(docs: DataFrame, groups: DataFrame, rows: DataFrame, scratch: Sc
     return kept.join(repeats, again, "left_anti").unionByName(kept.join(repeats, again, "left_semi").dropDuplicates([key, text]))
 
 
-def deduplicate(docs: DataFrame, shingle: int = WIDE["shingle"], words64: int = WIDE["words64"], radius: int = WIDE["radius"], segments: int = WIDE["segments"], within: int | None = WIDE["within"], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group of near-duplicates by SimHash, with all columns: the one of the smallest key, then the smallest hash of its text.
+def deduplicate(docs: DataFrame, least: float = LEAST, shingle: int = WORDS, text: str = "text", key: str = "doc_id", block_sets: int = BLOCK_SETS) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns: the one of the smallest key, then the smallest hash of its text.
 
-    Fingerprints alone decide: by default about half the pairs at a Jaccard similarity of 0.8 are linked, and some below it;
-    ``similar.deduplicate`` holds to the similarity itself.  Of rows equal in key and text one stays.  Null keys come after all
-    others; null and empty texts are one group; an empty table gives an empty result; extra columns are kept.
+    Documents are linked whose sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more.  Multi-index
+    hashing of wide fingerprints (``plan``) finds the candidates; the groups that they connect are verified set by set, so nothing less
+    similar is linked.  A link at just ``least`` is missed with a probability of about half a percent, above it with less.
+    Of rows equal in key and text one stays.  Null keys come after all others; null and empty texts are one group; an empty
+    table gives an empty result; extra columns are kept.
     """
     scratch = Scratch(docs.sparkSession, "simhash-dedup")
-    names = _names(words64)
+    how = plan(docs.count(), least)
+    names = [f"fp{i}" for i in range(how.segments.words64)]
     tagged = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text], docs[text].isNull()).alias("th"))
-    rows = scratch.write(fingerprints(tagged, shingle=shingle, words64=words64), "rows")
-    distinct = rows.groupBy(*names).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("first"))
-    distinct = scratch.write(distinct.withColumn("id", F.col("fp") if words64 == 1 else F.monotonically_increasing_id()), "distinct")
-    roots = connected(links(distinct, radius, segments, within, words64), scratch)
+    rows = scratch.write(sketches(tagged, how.segments.words64, shingle), "rows")
+    distinct = rows.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("first"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in names))
+    distinct = scratch.write(distinct, "distinct")
+
+    close = scratch.write(connected(links(distinct.where("n > 0"), how.radius, how.segments, WITHIN), scratch), "close")
+    inside = close.select(F.col("node").alias("id"), "root").unionByName(close.select(F.col("root").alias("id"), "root").distinct())
+    members = scratch.write(distinct.select("id", "n", "first").join(inside, "id"), "members")
+    # The texts of group members come again from the input, one row for each set.
+    wanted = members.select("id", F.col("first.key").alias("_key"), F.col("first.th").alias("_th"))
+    found = tagged.join(wanted, tagged["key"].eqNullSafe(wanted["_key"]) & (tagged["th"] == wanted["_th"])).select("id", utf8("text").alias("raw"))
+
+    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(raw, shingle).tobytes() for raw in batch.column(1).to_pylist()], pa.binary())], names=["id", "grams"])
+
+    sets = scratch.write(map_batches(found, grams, "id long, grams binary").dropDuplicates(["id"]), "sets")
+    roots = connected(verified(members.select("id", "n", "root"), sets, least, block_sets=block_sets), scratch)
     groups = distinct.join(roots, distinct["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     return one_of_each(docs, groups, rows, scratch, text, key)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from granary.llm import decontam, hilbert, langid, mixing, quality, sharding, similar, simhash, suffix, toolchat, toxicity
+from granary.llm import decontam, hilbert, langid, mixing, quality, sharding, simhash, suffix, toolchat, toxicity
 from granary.llm.common import Scratch
 from granary.llm.components import connected
 from granary.llm.sql import ORACLE
@@ -314,11 +314,49 @@ def test_links_connect_a_dense_cluster(spark, bucket):
     assert sorted(map(sorted, same.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_one_of_each_group_stays(docs):
-    kept = simhash.deduplicate(docs, shingle=4, words64=1, radius=4, segments=2, within=None).collect()
-    assert set(kept[0].asDict()) == set(docs.columns)
-    roots = classes(set(brute_fingerprint(r[1]) for r in corpus()), 4)
-    assert Counter(roots[brute_fingerprint(r.text)] for r in kept) == Counter(set(roots.values()))
+def test_segments_cross_words(spark):
+    rng = random.Random(3)
+    cut = simhash.Segments(9, 21, 3)
+    points = [[rng.getrandbits(64) for _ in range(3)] for _ in range(50)]
+    whole = [p[0] | p[1] << 64 | p[2] << 128 for p in points]
+    df = spark.createDataFrame([tuple(map(simhash._signed, p)) for p in points], "fp0 long, fp1 long, fp2 long")
+    got = df.select(*[cut.column(["fp0", "fp1", "fp2"], i) for i in range(9)]).collect()
+    arrays = [np.array(c, np.uint64) for c in zip(*points, strict=True)]
+    for i in range(9):
+        want = [w >> 21 * i & (1 << 21) - 1 for w in whole]
+        assert cut.values(arrays, i).tolist() == want == [r[i] for r in got]
+
+
+def test_plans_keep_their_recall():
+    for n in (1, 10**3, 10**5, 10**7, 10**10):
+        how = simhash.plan(n)
+        assert how.meet >= 1 - simhash.MISSED and how.segments.count * how.segments.width <= 64 * how.segments.words64 and how.segments.count < 128
+
+
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_similar_forest_by_brute_force(least):
+    rng = random.Random(4)
+    sets = []
+    for _ in range(120):
+        old = set(rng.choice(sets)) if sets and rng.random() < 0.7 else set(range(rng.randrange(100), 100 + rng.randrange(1, 60)))
+        sets.append(sorted((old - set(rng.sample(sorted(old), min(len(old) - 1, rng.randrange(4))))) | {rng.randrange(10**4) for _ in range(rng.randrange(4))}))
+    edges = simhash.similar_forest([np.array(s, np.uint64) for s in sets], least)
+    root = list(range(120))
+
+    def find(r, i):
+        while r[i] != i:
+            i = r[i]
+        return i
+
+    for a, b in edges:
+        root[find(root, a)] = find(root, b)
+    want = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            x, y = set(sets[i]), set(sets[j])
+            if len(x & y) / len(x | y) >= least:
+                want[find(want, i)] = find(want, j)
+    assert all((find(root, i) == find(root, j)) == (find(want, i) == find(want, j)) for i in range(120) for j in range(i))
 
 
 def test_components_of_a_long_path(spark):
@@ -492,13 +530,14 @@ def test_similar_texts_are_found_and_no_others(spark):
         (close if s >= 0.8 else far).append(g)
         rows += [(2 * g, " ".join(words)), (2 * g + 1, text)]
     assert len(close) == 200 and len(far) == 200
-    kept = {r.doc_id for r in similar.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept >= {2 * g for g in range(400)}
     assert sum(2 * g + 1 in kept for g in close) <= 2, "pairs at 0.8 are linked"
     assert all(2 * g + 1 in kept for g in far), "pairs at 0.7 aren't"
 
 
-def test_similar_groups_by_brute_force(spark, docs):
+@pytest.mark.parametrize("block", [1024, 10])
+def test_similar_groups_by_brute_force(spark, docs, block):
     rng = random.Random(32)
     base = prose(rng, 120).split()
     texts = []
@@ -508,7 +547,7 @@ def test_similar_groups_by_brute_force(spark, docs):
             words[rng.randrange(120)] = f"n{rng.randrange(50)}"
         texts.append(" ".join(words))
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (500, None), (501, ""), (502, "two words"), (503, "Two  Words"), (5, texts[5])]
-    sets = {t: frozenset(similar.grams(raw(t)).tolist()) for _, t in rows}
+    sets = {t: frozenset(simhash.shingle_set(raw(t)).tolist()) for _, t in rows}
     points = sorted(set(sets.values()), key=sorted)
     root = {p: p for p in points}
 
@@ -521,15 +560,15 @@ def test_similar_groups_by_brute_force(spark, docs):
         for b in points:
             if a and b and len(a & b) / len(a | b) >= 0.8:
                 root[find(a)] = find(b)
-    kept = similar.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), block_sets=block).collect()
     least = {}
     for i, t in rows:
         if i is not None:
             r = find(sets[t])
             least[r] = min(i, least.get(r, i))
     assert sorted(r.doc_id for r in kept) == sorted(least.values()) and len(least) > 3
-    assert similar.deduplicate(docs.limit(0)).count() == 0
-    assert set(similar.deduplicate(docs).columns) == set(docs.columns)
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+    assert set(simhash.deduplicate(docs).columns) == set(docs.columns)
 
 
 @pytest.mark.parametrize("block", [2_000_000, 15])
