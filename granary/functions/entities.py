@@ -18,26 +18,38 @@ def aliases(universe: DataFrame) -> DataFrame:
     return names.select(F.col("corp").alias("alias"), "corp").unionByName(listed).where(F.col("alias") != "").distinct()
 
 
-def find_spans(text: str | None, ordered: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
-    """Non-overlapping mentions, longest aliases first, in the order of the text."""
-    taken: list[tuple[int, int, str]] = []
-    for alias, corp in ordered:
-        at = (text or "").find(alias)
-        while at >= 0:
-            end = at + len(alias)
-            if all(end <= b or at >= e for b, e, _ in taken):
-                taken.append((at, end, corp))
-            at = text.find(alias, at + 1)
-    return sorted(taken)
+def by_length(table: list[tuple[str, str]]) -> list[tuple[int, dict[str, str]]]:
+    """Aliases with their companies, by length, the longest first; of equal aliases the last company counts."""
+    out: dict[int, dict[str, str]] = {}
+    for alias, corp in sorted(set(table)):
+        out.setdefault(len(alias), {})[alias] = corp
+    return sorted(out.items(), reverse=True)
+
+
+def find_spans(text: str | None, names: list[tuple[int, dict[str, str]]]) -> list[tuple[int, int, str]]:
+    """Mentions that don't overlap, in the order of the text: longer aliases before shorter ones, then from left to right.
+
+    For each length of an alias every stretch of the text is looked up; what is taken is marked on a mask of the text.
+    """
+    text = text or ""
+    free = bytearray(b"\1" * len(text))
+    found = []
+    for size, known in names:
+        for at in range(len(text) - size + 1):
+            corp = known.get(text[at : at + size])
+            if corp is not None and all(free[at : at + size]):
+                free[at : at + size] = bytes(size)
+                found.append((at, at + size, corp))
+    return sorted(found)
 
 
 def company_spans(text: Column | str, table: list[tuple[str, str]]) -> Column:
     """Mentions of the companies in ``table`` (alias, company), which holds the company master and thus is small."""
-    ordered = sorted(set(table), key=lambda x: (-len(x[0]), x))
+    names = by_length(table)
 
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"begin": b, "end": e, "corp": c} for b, e, c in find_spans(t, ordered)])
+        return texts.map(lambda t: [{"begin": b, "end": e, "corp": c} for b, e, c in find_spans(t, names)])
 
     return spans(T.col(text))
 

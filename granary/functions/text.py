@@ -43,13 +43,11 @@ def char_ngrams(text: Column | str, n: int) -> Column:
 
 
 def tokenizer(name: str):
-    """``whitespace`` or ``char_{n}gram``; other names must be given as functions of a column."""
+    """``whitespace`` or ``char_{n}gram``; a morphological analyser is a model of its own and has to be given as a function of a column."""
     if name == "whitespace":
         return whitespace_tokens
     if name.startswith("char_") and name.endswith("gram") and name[5:-4].isdigit():
         return lambda text: char_ngrams(text, int(name[5:-4]))
-    if name == "kiwi":  # a morphological analyser is an external model; without one, two-character grams stand in
-        return lambda text: char_ngrams(text, 2)
     raise ValueError(f"unknown tokenizer {name!r}")
 
 
@@ -58,17 +56,23 @@ def estimate_tokens(text: Column | str) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(col(text)) / 2)).cast("int")
 
 
+# fixed values: numbers, restatements that don't count, and document ids
+NUMBER = r"(\d[\d,]*\.?\d*)"
+RESTATEMENT = r"\(약[^)]*\)"
+DOC_ID = r"(\b(?:periodic|major|exchange|holding)_\d{10,}\b)"
+
+
 def numbers(text: Column | str, min_digits: int = 3) -> Column:
     """Distinct numbers without commas, of ``min_digits`` digits at least; parts around a point count too.  Restatements "(약 ...)" don't."""
-    plain = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\(약[^)]*\)", " ")
-    found = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d[\d,]*\.?\d*)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    plain = F.regexp_replace(F.coalesce(col(text), F.lit("")), RESTATEMENT, " ")
+    found = F.transform(F.regexp_extract_all(plain, F.lit(NUMBER), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
     whole = F.filter(found, lambda x: F.length(F.replace(x, F.lit("."), F.lit(""))) >= min_digits)
     parts = F.filter(F.flatten(F.transform(F.filter(found, lambda x: F.instr(x, ".") > 0), lambda x: F.split(x, r"\."))), lambda x: F.length(x) >= min_digits)
     return F.array_sort(F.array_distinct(F.concat(whole, parts)))
 
 
 def doc_ids(text: Column | str) -> Column:
-    return F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"(\b(?:periodic|major|exchange|holding)_\d{10,}\b)"), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(DOC_ID), F.lit(1))
 
 
 def periods(text: Column | str) -> Column:

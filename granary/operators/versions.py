@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,14 +149,23 @@ def correction_index(manifest: DataFrame, texts: DataFrame, overrides: DataFrame
     return out
 
 
-def correction_history(filings: DataFrame, company: str, title: str | None = None) -> DataFrame:
-    """Each version group of a company (of matching titles) as one row: its versions in order, if it holds a correction."""
-    rows = filings.where(F.col("corp_name") == company)
-    if title:
-        rows = rows.where(T.title_match(F.lit(title), "report_nm", "doc_subtype"))
-    version = F.struct("correction_order", "doc_id", "report_nm", "rcept_dt", "is_correction", "is_latest")
-    grouped = rows.groupBy("correction_group_id").agg(F.array_sort(F.collect_list(version)).alias("versions"), F.bool_or("is_correction").alias("corrected"))
-    return grouped.where("corrected").select("correction_group_id", F.size("versions").alias("n_versions"), "versions")
+def of_company(filings: DataFrame, company: str, title: str | None = None) -> DataFrame:
+    """A company's filings (its name in normal form C), those of matching titles if one is given."""
+    rows = filings.where(F.col("corp_name") == unicodedata.normalize("NFC", company))
+    return rows.where(T.title_match(F.lit(title), "report_nm", "doc_subtype")) if title else rows
+
+
+def version_groups(filings: DataFrame) -> DataFrame:
+    """Each version group as one row: ``correction_group_id, n_versions, corrected, versions`` (in order).  A group is as long as a filing has versions."""
+    version = F.struct("correction_order", "doc_id", "report_nm", "rcept_dt", "is_correction", "is_latest", "resolution_source")
+    grouped = filings.groupBy("correction_group_id").agg(F.array_sort(F.collect_list(version), lambda a, b: a["correction_order"] - b["correction_order"]).alias("versions"), F.bool_or("is_correction").alias("corrected"))
+    return grouped.select("correction_group_id", F.size("versions").alias("n_versions"), "corrected", "versions")
+
+
+def correction_history(filings: DataFrame, company: str, title: str | None = None, corrected_only: bool = False) -> DataFrame:
+    """The version groups of a company (of matching titles); with ``corrected_only`` those that hold a correction."""
+    groups = version_groups(of_company(filings, company, title))
+    return (groups.where("corrected") if corrected_only else groups).drop("corrected")
 
 
 def latest_report(filings: DataFrame, keys: list[str], order: tuple[str, ...] = BY_DATE) -> DataFrame:

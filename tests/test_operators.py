@@ -1,6 +1,8 @@
 """Operators of retrieval, versions, chunks, routing, evaluation and validation."""
 
 import math
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +139,36 @@ def test_packing():
     assert [u[1] for u in chunks.pack([text(4), big, text(4)])] == ["text", "table", "table", "table", "text"]
 
 
+def test_packing_by_brute_force():
+    """Against a plain loop that holds one open unit."""
+    rng = random.Random(9)
+    for _ in range(200):
+        nodes = []
+        for _ in range(rng.randint(0, 12)):
+            if rng.random() < 0.4:
+                nodes.append({"kind": "table", "rows": [[cell("y" * rng.choice([1, 30, 300])), cell("v")] for _ in range(rng.randint(1, 9))], "title_hint": None, "unit_hint": None, "pairs": []})
+            else:
+                nodes.append({"kind": "text", "text": "x" * rng.choice([0, 3, 200, 700, 1100, 2500]), "rows": [], "pairs": []})
+        want, held = [], []
+        size = lambda: sum(map(chunks.tokens, held))
+        for node in nodes:
+            pieces = chunks.render_table(node["rows"]) if node["kind"] == "table" else [node["text"]] if node["text"] else []
+            fits = len(pieces) == 1 and size() + chunks.tokens(pieces[0]) <= 1000
+            if node["kind"] == "table" and not fits:
+                want += ([held] if held else []) + [[p] for p in pieces]
+                held = []
+                continue
+            if pieces and held and not fits:
+                want.append(held)
+                held = []
+            held = held + pieces
+            if held and size() >= 600:
+                want.append(held)
+                held = []
+        want += [held] if held else []
+        assert [u[0] for u in chunks.pack(nodes)] == ["\n\n".join(u) for u in want]
+
+
 def test_contents_tables(spark):
     kind = "array<array<struct<text:string,is_header:boolean,field_code:string,unit_code:string,unit_value:string>>>"
     toc = [[cell("t"), cell("-" * 30), cell("3")]] * 3
@@ -214,21 +246,54 @@ def test_reports(spark):
 
 
 def test_agent_loop(spark):
+    seen = []
+
     class Client:
         def __init__(self):
             self.turn = 0
 
         def chat(self, messages, schemas):
             self.turn += 1
+            seen.append(list(messages))
             call = {"name": "calculate_growth_rate", "arguments": {"before": 100, "after": 150}}
             return {"calls": [call, call, {"name": "nothing", "arguments": {}}]} if self.turn == 1 else {"text": "50%"}
 
-    trace = tools.run_agent("q", Client(), tools.Registry(tools.calculation_tools(spark)))
-    assert trace.answer == "50%" and [c["name"] for c in trace.calls] == ["calculate_growth_rate", "nothing"]
-    assert trace.calls[0]["result"]["value"] == 50.0 and "error" in trace.calls[1]["result"]
+    trace = tools.run_agent("q", Client(), tools.Registry(tools.calculation_tools(spark)), "hint")
+    assert trace.answer == "50%" and [c["name"] for c in trace.calls] == ["calculate_growth_rate", "calculate_growth_rate", "nothing"] and trace.stop == tools.ANSWERED and trace.turns == 2
+    assert trace.calls[0]["result"]["value"] == 50.0 and "note" not in trace.calls[0]["result"] and "error" in trace.calls[2]["result"]
+    assert trace.calls[1]["result"] == {**trace.calls[0]["result"], "note": tools.REPEATED}
+    roles = [m["role"] for m in seen[-1]]
+    assert roles == ["system", "user", "assistant", "tool", "tool", "tool"] and seen[-1][1]["content"] == "hint\n\nq"
+    assert [m["tool_call_id"] for m in seen[-1][3:]] == [c["id"] for c in seen[-1][2]["calls"]] and len({c["id"] for c in seen[-1][2]["calls"]}) == 3
     pack = tools.evidence_pack(trace)
-    assert "계산 종류: calculate_growth_rate" in pack.prompt_text and len(pack.tool_results) == 2
-    assert "[EVIDENCE 없음" in tools.evidence_pack(tools.Trace("q")).prompt_text
+    assert "계산 종류: calculate_growth_rate\n입력 값: {'before': 100, 'after': 150}\n결과: {'value': 50.0" in pack.prompt_text and len(pack.tool_results) == 3
+    assert tools.evidence_pack(tools.Trace("q")).prompt_text == "[USER QUESTION]\nq\n\n[EVIDENCE 없음 — 검색/도구 호출로 근거를 확보하지 못했습니다]"
+    hit = {"chunk_id": "c1", "report_id": "r1", "company": "회사", "report_name": None, "filing_date": "20240101", "period": None, "section_path": ["a", "b"], "is_correction": True, "is_latest": True, "text": "t", "score": 1.5}
+    searches = tools.Trace("q", [{"name": tools.SEARCH, "arguments": {}, "result": {"results": [hit, {**hit, "chunk_id": "c2", "is_correction": False, "is_latest": None}]}}, {"name": "x", "arguments": {}, "result": {"a": "가"}}, {"name": tools.SEARCH, "arguments": {}, "result": {"results": [hit]}}])
+    pack = tools.evidence_pack(searches)
+    first = "[EVIDENCE 1]\n회사: 회사\n공시명: None\n공시일: 20240101\n기간: None\nSection: a > b\n정정 상태: 정정본 (최신)\n내용:\nt\nreport_id: r1\nchunk_id: c1\n"
+    assert pack.prompt_text.startswith("[USER QUESTION]\nq\n\n" + first + "\n[EVIDENCE 2]") and '\n[TOOL RESULT]\nx: {"a": "가"}\n\n[EVIDENCE 3]' in pack.prompt_text and "정정 상태: 원본\n" in pack.prompt_text
+    assert [c["chunk_id"] for c in pack.citations] == ["c1", "c2", "c1"] and pack.citations[0]["section_path"] == ["a", "b"] and len(pack.tool_results) == 1
+
+
+def test_agent_stops(spark):
+    class Busy:
+        def chat(self, messages, schemas):
+            return {"calls": [{"name": "nothing", "arguments": {"n": len(messages)}}]}
+
+    trace = tools.run_agent("q", Busy(), tools.Registry([]))
+    assert trace.stop == tools.OUT_OF_TURNS and trace.turns == 6 and trace.answer is None and len(trace.calls) == 6
+
+
+def test_version_tools(spark):
+    rows = [("a", "회사", "사업보고서", "annual", "periodic", "20240101", "1", False, "g1", 0, False, "manifest_key"), ("b", "회사", "[기재정정]사업보고서", "annual", "periodic", "20240201", "2", True, "g1", 1, True, "rule"), ("c", "회사", "분기보고서", "quarter", "periodic", "20230101", "3", False, "g2", 0, True, "manifest_key"), ("d", "other", "x", "annual", "periodic", "20250101", "4", False, "g3", 0, True, "original")]
+    filings = spark.createDataFrame(rows, "doc_id string, corp_name string, report_nm string, doc_subtype string, doc_group string, rcept_dt string, rcept_no string, is_correction boolean, correction_group_id string, correction_order int, is_latest boolean, resolution_source string")
+    history, latest = (t.handler for t in tools.version_tools(filings))
+    name = unicodedata.normalize("NFD", "회사")
+    groups = history(name)["correction_groups"]
+    assert [g["correction_group_id"] for g in groups] == ["g1", "g2"] and [v["doc_id"] for v in groups[0]["chain"]] == ["a", "b"] and groups[0]["chain"][1]["resolution_source"] == "rule"
+    assert [g["correction_group_id"] for g in history(name, "분기 보고서")["correction_groups"]] == ["g2"] and history("none") == {"correction_groups": []}
+    assert latest(name, "periodic")["doc_id"] == "b" and latest(name, "major") == {"found": False} and latest(name, "periodic", "분기")["doc_id"] == "c"
 
 
 def test_search_tool(spark, chunk_rows):
@@ -245,7 +310,10 @@ def test_search_tool(spark, chunk_rows):
 
 
 def test_tokenizers_by_name():
-    assert T.tokenizer("whitespace") is T.whitespace_tokens and callable(T.tokenizer("char_3gram")) and callable(T.tokenizer("kiwi"))
+    assert T.tokenizer("whitespace") is T.whitespace_tokens and callable(T.tokenizer("char_3gram"))
+    for name in ("morphological", "char_gram"):
+        with pytest.raises(ValueError):
+            T.tokenizer(name)
 
 
 def test_retries():

@@ -42,18 +42,41 @@ def test_exchange_parser():
     assert node["group_label"] == "계약내역" and {p["key"]: p["value"] for p in node["pairs"]} == {"계약금액(원)": "22,764,764,160,000", "매출액대비(%)": "7.6"}
 
 
+def spanning(text, rows=1, columns=1):
+    return parsers.Spanning(parsers.cell(text), rows, columns)
+
+
 def test_grid():
-    R = parsers.RawCell
-    grid = parsers.expand_grid([[R("g", rowspan=2), R("x", colspan=2)], [R("y")], []])
-    assert [[n for n, _ in row] for row in grid] == [[0, 1, 1], [0, 2, -1], [-1, -1, -1]]
-    assert [n for n, _ in parsers.shorten(grid[0])] == [0, 1]
-    nodes = parsers.classify_grid(parsers.expand_grid([[R("k"), R("v", colspan=3)], [R("title")], [R("k2"), R("v2")]]))
+    C = spanning
+    assert parsers.lay_out([[C("g", 2), C("x", 1, 2)], [C("y")], []]) == [[0, 1], [0, 2, -1], [-1]]
+    assert parsers.lay_out([]) == [] and parsers.lay_out([[C("a", 3)], [], [C("b")]]) == [[0, -1], [0, -1], [0, 1]]
+    # a cell from above beyond a gap waits for the row that comes to it
+    assert parsers.lay_out([[C("a"), C("b"), C("c", 2)], [C("d")], [C("e"), C("f")]]) == [[0, 1, 2], [3, -1], [4, 5, 2]]
+    nodes = parsers.table_nodes([[C("k"), C("v", 1, 3)], [C("title")], [C("k2"), C("v2")]])
     assert [p["value"] for n in nodes for p in n["pairs"]] == ["v", "v2"]
     rng = random.Random(1)
-    for _ in range(50):  # every row is as wide as the widest, and every cell is somewhere
-        rows = [[R(str(rng.random()), rng.randint(1, 3), rng.randint(1, 3)) for _ in range(rng.randint(0, 4))] for _ in range(5)]
-        grid = parsers.expand_grid(rows)
-        assert len({len(r) for r in grid}) <= 1 and {n for r in grid for n, _ in r} - {-1} == set(range(sum(map(len, rows))))
+    for _ in range(50):  # every cell is somewhere
+        rows = [[C(str(rng.random()), rng.randint(1, 3), rng.randint(1, 3)) for _ in range(rng.randint(0, 4))] for _ in range(5)]
+        assert {n for r in parsers.lay_out(rows) for n in r} - {-1} == set(range(sum(map(len, rows))))
+
+
+def test_key_value_runs():
+    C = spanning
+    rows = [[C("g", 2), C("a"), C("1")], [C("b"), C("2")], [C(" ")], [C("k"), C("v")], [C("l"), C("w")], [C("h"), C("c"), C("3")], [C("", 2), C("d"), C("4")], [C("e"), C("")], [C("m"), C("x")]]
+    nodes = parsers.table_nodes(rows)
+    assert [(n["group_label"], [(p["key"], p["value"]) for p in n["pairs"]]) for n in nodes] == [
+        ("g", [("a", "1"), ("b", "2")]), (None, [("k", "v"), ("l", "w")]), ("h", [("c", "3")]), (None, [("d", "4"), ("e", ""), ("m", "x")]),
+    ]
+
+
+def test_long_tables(spark):
+    xml = "<DOCUMENT><BODY><SECTION-1><TITLE>t</TITLE><TABLE>" + "".join(f"<TR><TD>k{i}</TD><TD>v</TD></TR>" for i in range(600)) + "</TABLE></SECTION-1></BODY></DOCUMENT>"
+    count = lambda parsed: sum(len(n["pairs"]) for s in parsed[1] for n in s.content)
+    assert count(parsers.parse_dart(xml)) == 500 and count(parsers.parse_dart(xml, None)) == 600
+    assert parsers.parse_dart(xml)[2] == ["table cut after 500 of 600 rows"] and parsers.parse_dart(xml, None)[2] == []
+    files = spark.createDataFrame([("d", "major", "xml", True, "p", bytearray(xml.encode()))], "doc_id string, doc_group string, file_format string, is_main boolean, path string, content binary")
+    assert [r.warning for r in parsers.warnings(files).collect()] == ["table cut after 500 of 600 rows"] and not parsers.warnings(files, None).collect()
+    assert sum(len(r.pairs) for r in parsers.parse(files, None).collect()) == 600
 
 
 def write_corpus(root):
@@ -131,7 +154,7 @@ def test_streams(spark, tmp_path):
 def test_ask(spark):
     class Client:
         def chat(self, messages, schemas):
-            if len(messages) == 1:
+            if len(messages) == 2:
                 return {"calls": [{"name": "search_disclosures", "arguments": {"query": "매출액"}}]}
             return {"text": "done"}
 
