@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.storage import cut
+
 FALLBACK = "__fallback__"
 
 
@@ -28,9 +30,29 @@ def per_query(ranked: DataFrame, gold: DataFrame, k: int = 10, item: str = "repo
     )
 
 
-def p95(values: Column) -> Column:
-    """Of a sorted list of n values the one at max(0, floor(0.95 n) - 1), counted from 0."""
-    return F.element_at(F.array_sort(values), F.greatest(F.floor(F.size(values) * 0.95), F.lit(1)).cast("int"))
+def ordered_value(rows: DataFrame, by: str, value: str, place: Column) -> DataFrame:
+    """``by, n, value``: of each group's values in order the one at ``place`` (from 0, by the group's number of values ``n``); nulls don't count.
+
+    Groups and values are sorted together over all partitions, so that a group of any size is spread: a value's place is
+    its place among all less that of its group's first.
+    """
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    slim = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"))
+    spread = cut(slim.repartitionByRange(int(parts), "g", "v").sortWithinPartitions("g", "v").withColumn("m", F.monotonically_increasing_id()))
+    spread = spread.select("g", "v", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"))
+    # What partitions hold of each group: where each group goes on in each partition.
+    held = spread.groupBy("g", "part").agg(F.count("*").alias("n"), F.min("within").alias("first"))
+    w = Window.partitionBy("g").orderBy("part")
+    held = held.select("g", "part", "first", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("g")).alias("total"))
+    wanted = held.select(F.col("g").alias("g2"), F.col("part").alias("part2"), "total", (place.cast("long") - F.col("before") + F.col("first")).alias("within2"))
+    wanted = cut(wanted)
+    met = spread.join(wanted, F.col("g").eqNullSafe(F.col("g2")) & (F.col("part") == F.col("part2")) & (F.col("within") == F.col("within2")))
+    return met.select(F.col("g").alias(by), F.col("total").alias("n"), F.col("v").alias(value))
+
+
+def p95(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, n, value``: of n sorted values the one at max(0, floor(0.95 n) - 1), counted from 0."""
+    return ordered_value(rows, by, value, F.greatest(F.floor(F.col("total") * 0.95) - 1, F.lit(0)))
 
 
 def summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:

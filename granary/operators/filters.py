@@ -80,6 +80,11 @@ def relaxations(company: str | None = None, report_type: str | None = None, peri
     return steps
 
 
+def weakest(steps: list[RetrievalFilter]) -> Column:
+    """What every step asks: the last step's conditions, since each step drops some of those before it."""
+    return steps[-1].predicate()
+
+
 def first_nonempty(ranked: DataFrame, steps: list[RetrievalFilter], k: int, key: str = "query_id") -> DataFrame:
     """Of each query's candidates, the best ``k`` of the first step that leaves any; ``attempt`` says which.
 

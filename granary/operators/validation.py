@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 
-#: Evidence numbers beyond which derived numbers are not tried.
+#: Evidence numbers beyond which derived numbers are not tried, unless the caller says otherwise.
 MOST_NUMBERS = 200
 KEYWORD = "근거"
 
 
-def derived(claimed: Column, evidence: Column) -> Column:
+def derived(claimed: Column, evidence: Column, most: int | None = MOST_NUMBERS) -> Column:
     """The first expression over two evidence numbers that gives the claimed one: a - b, a + b, or a / b in percent.
 
-    Tolerance: half a percent of the claimed number, 0.5 at least.  An expression over arrays of at most MOST_NUMBERS.
+    Tolerance: half a percent of the claimed number, 0.5 at least.  With ``most``, nothing is
+    tried against more evidence numbers than that; None tries all pairs of any number.
     """
     target = claimed.try_cast("double")
     tolerance = F.greatest(F.abs(target) * 0.005, F.lit(0.5))
@@ -31,16 +32,17 @@ def derived(claimed: Column, evidence: Column) -> Column:
         )
 
     found = F.flatten(F.transform(evidence, lambda a: F.array_compact(F.transform(evidence, lambda b: pair(a, b)))))
-    return F.when(F.size(evidence) <= MOST_NUMBERS, F.try_element_at(found, F.lit(1)))
+    first = F.try_element_at(found, F.lit(1))
+    return first if most is None else F.when(F.size(evidence) <= most, first)
 
 
-def validate(answers: DataFrame) -> DataFrame:
+def validate(answers: DataFrame, most_numbers: int | None = MOST_NUMBERS) -> DataFrame:
     """Adds ``validation`` to rows of ``answer, prompt_text, tool_results (strings), citations (report_id, chunk_id, is_correction), explicit_correction``."""
     none = F.array().cast("array<string>")
     tools = F.coalesce("tool_results", none)
     evidence = F.array_distinct(F.concat(T.numbers("prompt_text"), F.flatten(F.transform(tools, lambda t: T.numbers(t)))))
     rows = answers.withColumn("_evidence", evidence).withColumn("_open", F.array_except(T.numbers("answer"), F.col("_evidence")))
-    rows = rows.withColumn("_derived", F.transform("_open", lambda n: F.struct(n.alias("number"), derived(n, F.col("_evidence")).alias("by"))))
+    rows = rows.withColumn("_derived", F.transform("_open", lambda n: F.struct(n.alias("number"), derived(n, F.col("_evidence"), most_numbers).alias("by"))))
     ungrounded = F.transform(F.filter("_derived", lambda d: d["by"].isNull()), lambda d: d["number"])
     named = F.flatten(F.transform(tools, lambda t: T.doc_ids(t)))
     cited = F.coalesce(F.exists("citations", lambda c: F.contains(F.col("answer"), c["report_id"]) | F.contains(F.col("answer"), c["chunk_id"])), F.lit(False))
@@ -75,8 +77,13 @@ def name_report(names: DataFrame, found: DataFrame, key: str = "name") -> DataFr
     )
 
 
-def resolution_report(rows: DataFrame, group: str = "doc_group", resolved: str = "resolved", key: str = "doc_id", healthy: float = 0.99) -> DataFrame:
-    """Totals and failures by group; a group is healthy from a share of 0.99 resolved."""
-    out = rows.groupBy(group).agg(F.count("*").alias("total"), F.count_if(resolved).alias("n_resolved"), F.array_sort(F.collect_list(F.when(~F.coalesce(resolved, F.lit(False)), F.col(key)))).alias("failed"))
+def resolution_report(rows: DataFrame, group: str = "doc_group", resolved: str = "resolved", healthy: float = 0.99) -> DataFrame:
+    """Totals by group; a group is healthy from a share of 0.99 resolved.  ``failures`` has the rows that aren't."""
+    out = rows.groupBy(group).agg(F.count("*").alias("total"), F.count_if(resolved).alias("n_resolved"))
     rate = F.when(F.col("total") > 0, F.col("n_resolved") / F.col("total")).otherwise(F.lit(0.0))
     return out.withColumn("rate", rate).withColumn("healthy", F.col("rate") >= healthy)
+
+
+def failures(rows: DataFrame, group: str = "doc_group", resolved: str = "resolved", key: str = "doc_id") -> DataFrame:
+    """``group, key`` of what isn't resolved, a row each."""
+    return rows.where(~F.coalesce(F.col(resolved), F.lit(False))).select(group, key)

@@ -18,6 +18,7 @@ class Corpus:
     chunks: DataFrame
     leaves: DataFrame
     health: DataFrame
+    failures: DataFrame  # filings without a file
 
 
 def build(spark: SparkSession, manifest_path: str, root: str, only: list[str] | None = None, overrides: dict[str, str] | None = None) -> Corpus:
@@ -25,7 +26,7 @@ def build(spark: SparkSession, manifest_path: str, root: str, only: list[str] |
     manifest = files.manifest(spark, manifest_path)
     raw = files.raw_files(spark, root)
     ours = files.main_files(raw, manifest)
-    health = validation.resolution_report(manifest.join(ours.select("doc_id").distinct().withColumn("resolved", F.lit(True)), "doc_id", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False))))
+    found = manifest.join(ours.select("doc_id").distinct().withColumn("resolved", F.lit(True)), "doc_id", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
     texts = ours.where("is_main").select("doc_id", parsers.flat_text("content", F.col("doc_group") == "exchange").alias("text"))
     fixed = files.overrides(spark, overrides) if overrides else None
     index = versions.correction_index(manifest, texts, fixed)
@@ -33,4 +34,4 @@ def build(spark: SparkSession, manifest_path: str, root: str, only: list[str] |
     wanted = ours if only is None else ours.where(F.col("doc_id").isin(only))
     nodes = parsers.parse(wanted)
     made = chunks.chunk(nodes, filings)
-    return Corpus(filings, nodes, made, chunks.leaves(made), health)
+    return Corpus(filings, nodes, made, chunks.leaves(made), validation.resolution_report(found), validation.failures(found))

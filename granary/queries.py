@@ -11,7 +11,8 @@ from granary.functions import calc, entities
 from granary.functions import text as T
 from granary.operators import chunks, evaluation, filters, retrieval, routing, tools, validation, versions
 from granary.session import configure
-from granary.sources import parsers
+from granary.sources import files, parsers, sinks
+from granary.storage import cut, shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,8 +80,9 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def index(spark: SparkSession, sf_dir: str) -> retrieval.Bm25Index:
-    return retrieval.build_bm25(doc_chunks(spark, sf_dir))
+def index(spark: SparkSession, sf_dir: str, tokenizer: str = "whitespace") -> retrieval.Bm25Index:
+    """The stored index of all documents: made once, then read by every query."""
+    return stored(table(spark, sf_dir, "documents"), f"bm25-{tokenizer}", lambda path: retrieval.build_bm25(doc_chunks(spark, sf_dir), tokenizer, path=path))
 
 
 # ---- lexical retrieval
@@ -114,28 +116,27 @@ def whitespace_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.size(F.array_distinct(tokens)).alias("n_distinct"))
 
 
-@query(f"""WITH b AS (SELECT item_id, regexp_replace(text, '{BLANK}', '', 'g') AS t FROM benchmark)
-SELECT gram, count(*) AS n FROM (SELECT unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) END) AS gram FROM b) GROUP BY gram""")
+NGRAMS_SQL = "CASE WHEN length(t) = 0 THEN [] WHEN length(t) < {n} THEN [t] ELSE list_transform(range(1, length(t) - {n} + 2), lambda i: substr(t, i, {n})) END"
+
+
+@query(f"""WITH b AS (SELECT regexp_replace(text, '{BLANK}', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT gram, count(*) AS n FROM (SELECT unnest({NGRAMS_SQL.format(n=3)}) AS gram FROM b) GROUP BY gram""")
 def char_ngram_terms(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.explode(T.char_ngrams("text", 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select(F.explode(T.char_ngrams("text", 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-def _char2_sql() -> str:
-    grams = "CASE WHEN length(t) = 0 THEN [] WHEN length(t) < 2 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) END"
-    return f"""WITH d AS (SELECT item_id AS chunk_id, regexp_replace(text, '{BLANK}', '', 'g') AS t FROM benchmark), g AS (SELECT chunk_id, {grams} AS w FROM d),
-lengths AS (SELECT chunk_id, len(w) AS dl FROM g), corpus AS (SELECT count(*) AS n, avg(dl) AS mean FROM lengths),
-postings AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM g) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-asked AS (SELECT chunk_id AS query_id, term, count(*) AS qtf FROM (SELECT chunk_id, unnest(w) AS term FROM g WHERE chunk_id % 4 = 0) GROUP BY ALL),
+CHAR2_SQL = f"""WITH d AS (SELECT doc_id AS chunk_id, {NGRAMS_SQL.format(n=2)} AS w FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '{BLANK}', '', 'g') AS t FROM documents)),
+lengths AS (SELECT chunk_id, len(w) AS dl FROM d), corpus AS (SELECT count(*) AS n, avg(dl) AS mean FROM lengths),
+postings AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({NGRAMS_SQL.format(n=2)}) AS term FROM (SELECT item_id, regexp_replace(coalesce(text, ''), '{BLANK}', '', 'g') AS t FROM benchmark)) GROUP BY ALL),
 scores AS (SELECT query_id, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 9) AS score FROM asked JOIN postings USING (term) JOIN df USING (term) JOIN lengths USING (chunk_id), corpus GROUP BY ALL)
 SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores) WHERE rank <= 5"""
 
 
-@query(_char2_sql())
+@query(CHAR2_SQL)
 def bm25_char2(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
-    ix = retrieval.build_bm25(items, "char_2gram")
-    asked = items.where("chunk_id % 4 = 0").withColumnRenamed("chunk_id", "query_id")
-    return retrieval.ranked(retrieval.bm25_scores(ix, asked, "char_2gram").withColumn("score", F.round("score", 9)), 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    scores = retrieval.bm25_scores(index(spark, sf_dir, "char_2gram"), benchmark_queries(spark, sf_dir), "char_2gram")
+    return retrieval.ranked(rounded(scores), 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 # ---- dense retrieval and fusion
@@ -146,10 +147,10 @@ def vector_rows(spark, sf_dir) -> DataFrame:
 
 
 def vector_queries(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
 
 
-DENSE_SQL = "dense AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score, v.label::VARCHAR AS report_type, v.vec_id % 2 = 0 AS is_latest FROM embeddings v, embeddings q WHERE q.vec_id % 25 = 0)"
+DENSE_SQL = "dense AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score, v.label::VARCHAR AS report_type, v.vec_id % 2 = 0 AS is_latest FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
 
 
 def rounded(scores: DataFrame) -> DataFrame:
@@ -167,13 +168,13 @@ def dense_filtered(spark, sf_dir):
     return retrieval.dense_top(kept, vector_queries(spark, sf_dir), 5, places=9).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
 
 
-LABEL_SQL = "bylabel AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, (abs(v.vec_id - q.vec_id) + 1)::DOUBLE AS score FROM embeddings v, embeddings q WHERE q.vec_id % 25 = 0 AND v.label = q.label)"
+LABEL_SQL = "bylabel AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, (abs(v.vec_id - q.vec_id) + 1)::DOUBLE AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.label = q.label)"
 
 
 def lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Two rankings of the same vectors: by cosine, and by distance of ids among those of the query's label."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     other = e.join(q, "label").select("query_id", F.col("vec_id").alias("chunk_id"), (F.abs(F.col("vec_id") - F.col("query_id")) + 1).cast("double").alias("score"))
     return retrieval.dense_top(vector_rows(spark, sf_dir), vector_queries(spark, sf_dir), 50, places=9), retrieval.ranked(other, 50)
 
@@ -198,9 +199,9 @@ def weighted_fusion(spark, sf_dir):
     return retrieval.ranked(fused, 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-HYBRID_SQL = f"""WITH {scores_sql("item_id % 4 = 0")},
+HYBRID_SQL = f"""WITH {scores_sql()},
 lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scores QUALIFY rank <= 50),
-den AS (SELECT item_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v WHERE item_id % 4 = 0),
+den AS (SELECT item_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v),
 dr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM den QUALIFY rank <= 50),
 f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM dr) GROUP BY ALL)
 SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 10"""
@@ -208,7 +209,7 @@ SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_nu
 
 @query(HYBRID_SQL)
 def hybrid_search(spark, sf_dir):
-    asked = benchmark_queries(spark, sf_dir).where("query_id % 4 = 0")
+    asked = benchmark_queries(spark, sf_dir)
     vectors = vector_rows(spark, sf_dir)
     q = asked.join(vectors.select(F.col("chunk_id").alias("query_id"), "vec"), "query_id")
     lexical = retrieval.ranked(rounded(retrieval.bm25_scores(index(spark, sf_dir), asked)), 50)
@@ -250,7 +251,8 @@ SELECT query_id, chunk_id, attempt, rank FROM (SELECT *, row_number() OVER (PART
 def relaxed_search(spark, sf_dir):
     scores = rounded(retrieval.bm25_scores(index(spark, sf_dir), benchmark_queries(spark, sf_dir)))
     steps = filters.relaxations("src3", "es", "2003", True)
-    return filters.first_nonempty(scores.join(doc_chunks(spark, sf_dir), "chunk_id"), steps, 5).select("query_id", "chunk_id", "attempt", "rank")
+    payload = doc_chunks(spark, sf_dir).where(filters.weakest(steps)).drop("text")
+    return filters.first_nonempty(scores.join(payload, "chunk_id"), steps, 5).select("query_id", "chunk_id", "attempt", "rank")
 
 
 # ---- routing and evaluation
@@ -309,7 +311,7 @@ def ambiguous_eval(spark, sf_dir):
 
 
 METRICS_SQL = f"""WITH {DENSE_SQL}, r AS (SELECT query_id, chunk_id % 20 AS report_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense QUALIFY rank <= 20),
-first AS (SELECT query_id, report_id, min(rank) AS rank FROM r GROUP BY ALL), gold AS (SELECT vec_id AS query_id, [vec_id % 20, (vec_id + 3) % 20, (vec_id + 7) % 20] AS gold FROM embeddings WHERE vec_id % 25 = 0),
+first AS (SELECT query_id, report_id, min(rank) AS rank FROM r GROUP BY ALL), gold AS (SELECT vec_id AS query_id, [vec_id % 20, (vec_id + 3) % 20, (vec_id + 7) % 20] AS gold FROM embeddings WHERE vec_id % 100 = 0),
 g AS (SELECT query_id, unnest(list_distinct(gold)) AS report_id FROM gold),
 h AS (SELECT query_id, count(*) FILTER (rank <= 10) AS found, min(rank) AS fr, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM g JOIN first USING (query_id, report_id) GROUP BY query_id)
 SELECT query_id, round(coalesce(found, 0) / 3.0, 6) AS recall, round(coalesce(1.0 / fr, 0), 6) AS rr, round(coalesce(dcg, 0) / (1 + 1 / log2(3) + 1 / log2(4)), 6) AS ndcg, coalesce(found > 0, false) AS hit FROM gold LEFT JOIN h USING (query_id)"""
@@ -333,7 +335,9 @@ def ranking_summary(spark, sf_dir):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, list_extract(list_sort(list(value)), greatest(floor(0.95 * count(value))::BIGINT, 1)) AS p95 FROM events GROUP BY event_type")
 def p95_latency_rule(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), evaluation.p95(F.collect_list("value")).alias("p95"))
+    events = table(spark, sf_dir, "events")
+    means = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return means.join(evaluation.p95(events, "event_type", "value").select("event_type", F.col("value").alias("p95")), "event_type")
 
 
 JUDGED_SQL = "j AS (SELECT event_id, event_type AS category, value AS elapsed, CASE WHEN event_id % 11 = 0 THEN 'timeout' END AS error, event_id % 3 <> 0 AS grounded, event_id % 5 <> 0 AS citation FROM events), v AS (SELECT *, CASE WHEN error IS NULL AND grounded AND citation THEN 'PASS' ELSE 'FAIL' END AS verdict FROM j)"
@@ -360,10 +364,11 @@ def resume_antijoin(spark, sf_dir):
     return evaluation.remaining(e, e.where("value > 100"), ["user_id", "event_type"]).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, list_distinct(list(event_type ORDER BY ts, event_id))[1] AS first_type, count(DISTINCT event_type) AS n_types FROM events GROUP BY user_id".replace("list_distinct(list(event_type ORDER BY ts, event_id))[1]", "first(event_type ORDER BY ts, event_id)"))
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS types FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1) GROUP BY user_id")
 def distinct_in_order(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])).alias("types"))
-    return e.select("user_id", F.col("types")[0].alias("first_type"), F.size("types").cast("long").alias("n_types"))
+    firsts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    e = firsts.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at.ts", "at.event_id", "event_type"))), lambda x: x["event_type"]).alias("types"))
+    return e.select("user_id", F.array_join("types", ",").alias("types"))
 
 
 @query("WITH p AS (SELECT doc_id, list_distinct([lang, source, source]) AS a, list_distinct(['en', source]) AS b FROM documents) SELECT doc_id, len(list_intersect(a, b)) / 2.0 = 1 AND len(a) = len(b) AS exact, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) AS f1 FROM p")
@@ -412,12 +417,10 @@ def latest_version(spark, sf_dir):
     return versions.latest_report(rows, ["o_custkey"]).select("o_custkey", "doc_id", "rcept_dt")
 
 
-@query(f"WITH v AS ({KEYED_SQL}) SELECT correction_group_id, count(*)::INTEGER AS n_versions, string_agg(doc_id::VARCHAR, ',' ORDER BY correction_order) AS version_ids FROM v GROUP BY correction_group_id HAVING count(*) > 1")
+@query(f"WITH v AS ({KEYED_SQL}) SELECT correction_group_id, count(*)::INTEGER AS n_versions, count(*) > 1 AS corrected, string_agg(doc_id::VARCHAR, ',' ORDER BY correction_order) AS version_ids FROM v GROUP BY correction_group_id")
 def correction_history(spark, sf_dir):
-    rows = versions.keyed_groups(filings(spark, sf_dir), ["o_custkey", "y"]).withColumn("is_correction", F.col("correction_order") > 0)
-    rows = rows.withColumn("corp_name", F.lit("all")).withColumn("report_nm", F.lit("")).withColumn("doc_subtype", F.lit(""))
-    out = versions.correction_history(rows, "all")
-    return out.select("correction_group_id", "n_versions", F.array_join(F.transform("versions", lambda v: v["doc_id"].cast("string")), ",").alias("version_ids"))
+    rows = versions.keyed_groups(filings(spark, sf_dir), ["o_custkey", "y"]).withColumn("is_correction", F.col("correction_order") > 0).withColumn("report_nm", F.lit(""))
+    return versions.version_groups(rows).select("correction_group_id", "n_versions", "corrected", F.array_join(F.transform("versions", lambda v: v["doc_id"].cast("string")), ",").alias("version_ids"))
 
 
 PARENT_SQL = f"""WITH {FILINGS_SQL}, ask AS (SELECT *, lag(rcept_dt) OVER (PARTITION BY o_custkey ORDER BY rcept_dt, rcept_no) AS target FROM f),
@@ -493,10 +496,26 @@ def doc_nodes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return nodes, meta
 
 
-@query(None)
+PARENT_CHILD_SQL = r"""WITH RECURSIVE l AS (SELECT doc_id, source, x[1] AS line, x[2] AS seq, trim(regexp_replace(x[1], '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')) <> '' AS said FROM (SELECT doc_id, source, unnest(list_zip(string_split(text, chr(10)), range(0, len(string_split(text, chr(10)))))) AS x FROM documents)),
+g AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN seq // 10 END AS part, max(seq // 10) AS section, list(line ORDER BY seq) FILTER (said) AS ls FROM l GROUP BY ALL),
+w AS (SELECT doc_id, section, ls, dense_rank() OVER (PARTITION BY doc_id ORDER BY section) AS p, array_to_string(ls, chr(10) || chr(10)) AS whole FROM g),
+packed AS (SELECT * FROM w WHERE ls IS NOT NULL AND (doc_id % 2 = 0 OR length(whole) // 2 > 1000)),
+step AS (SELECT doc_id, section, p, ls, 1 AS i, 0 AS unit, NULL::VARCHAR AS piece, ls[1] AS open, greatest(1, length(ls[1]) // 2) AS size FROM packed
+UNION ALL SELECT doc_id, section, p, ls, i + 1, CASE WHEN closes THEN unit + 1 ELSE unit END, CASE WHEN closes THEN open END,
+  CASE WHEN closes THEN ls[i + 1] ELSE open || chr(10) || chr(10) || ls[i + 1] END, CASE WHEN closes THEN greatest(1, length(ls[i + 1]) // 2) ELSE size + greatest(1, length(ls[i + 1]) // 2) END
+  FROM (SELECT *, i = len(ls) OR size >= 600 OR size + greatest(1, length(ls[i + 1]) // 2) > 1000 AS closes FROM step WHERE i <= len(ls))),
+units AS (SELECT doc_id, section, p, unit, piece AS raw_text FROM step WHERE piece IS NOT NULL
+UNION ALL SELECT doc_id, section, p, 1, coalesce(whole, '') FROM w WHERE doc_id % 2 = 1 AND (ls IS NULL OR length(whole) // 2 <= 1000)),
+rows AS (SELECT doc_id || '::main::P' || p AS chunk_id, NULL AS parent_chunk_id, doc_id, section, coalesce(whole, 'S' || section) AS raw_text FROM w WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id || '::main::P' || p || '::C' || unit, doc_id || '::main::P' || p, doc_id, section, raw_text FROM units WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id || '::main::C' || unit, NULL, doc_id, section, raw_text FROM units WHERE doc_id % 2 = 1)
+SELECT chunk_id, parent_chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'periodic' ELSE 'major' END AS report_type, 'text' AS content_type, 'S' || section AS section_path, raw_text FROM rows"""
+
+
+@query(PARENT_CHILD_SQL)
 def parent_child_chunks(spark, sf_dir):
     nodes, meta = doc_nodes(spark, sf_dir)
-    return chunks.chunk(nodes, meta).select("chunk_id", "parent_chunk_id", "report_type", "content_type", "section_path", "raw_text")
+    return chunks.chunk(nodes, meta).select("chunk_id", "parent_chunk_id", "report_type", "content_type", F.array_join("section_path", " > ").alias("section_path"), "raw_text")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(0, len(string_split(text, chr(10)))))) AS x FROM documents),
@@ -510,34 +529,40 @@ def section_chunks(spark, sf_dir):
 # ---- parsing
 
 
-GRID_HTML = "<html><title>T</title><table><tr><td rowspan='2'>G</td><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr><tr><td>c</td><td>3</td></tr></table><table><tr><th>h1</th><th>h2</th><th>h3</th><th>h4</th></tr><tr><td>1</td><td>2</td><td>3</td><td>4</td></tr></table></html>"
-
-
-def parsed_literal(spark) -> DataFrame:
-    rows = [("x", "exchange", "xml", True, "p.xml", bytearray(GRID_HTML.encode()))]
-    return parsers.parse(spark.createDataFrame(rows, "doc_id string, doc_group string, file_format string, is_main boolean, path string, content binary"))
+def parsed_pages(spark, sf_dir) -> DataFrame:
+    """All pages as exchange filings, each under two tables of its own address and size."""
+    pages = table(spark, sf_dir, "pages")
+    number, size = F.col("page_id").cast("string"), F.length("html").cast("string")
+    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    pairs = F.concat(F.lit("<table><tr><td rowspan='2'>address</td><td>url</td><td>"), url, F.lit("</td></tr><tr><td>number</td><td>"), number, F.lit("</td></tr><tr><td>chars<td colspan=2> "), size, F.lit("</tr></table>"))
+    grid = F.concat(F.lit("<table><tr><th>number</th><th>url</th><th>chars</th><th>page</th></tr><tr><td rowspan=2>"), number, F.lit("</td><td>"), url, F.lit("</td><td>"), size, F.lit("</td><td>a</td></tr><tr><td>&lt;b&gt;</td></tr></table>"))
+    content = F.concat(pairs, grid, "html").cast("binary")
+    rows = pages.select(number.alias("doc_id"), F.lit("exchange").alias("doc_group"), F.lit("xml").alias("file_format"), F.lit(True).alias("is_main"), "url", content.alias("content"))
+    return parsers.parse(rows.withColumnRenamed("url", "path"))
 
 
-@query("SELECT * FROM (VALUES ('x', 1, 'G', 'a', '1'), ('x', 1, 'G', 'b', '2'), ('x', 2, NULL, 'c', '3')) t(doc_id, node_seq, group_label, \"key\", \"value\")")
+@query("SELECT page_id::VARCHAR AS doc_id, node_seq, group_label, x[1] AS \"key\", x[2] AS \"value\" FROM (SELECT page_id, 1 AS node_seq, 'address' AS group_label, unnest([['url', url], ['number', page_id::VARCHAR]]) AS x FROM pages UNION ALL SELECT page_id, 2, NULL, ['chars', length(html)::VARCHAR] FROM pages)")
 def kv_classify(spark, sf_dir):
-    return parsed_literal(spark).where("kind = 'key_value'").select("doc_id", "node_seq", "group_label", F.explode("pairs").alias("p")).select("doc_id", "node_seq", "group_label", "p.key", "p.value")
+    return parsed_pages(spark, sf_dir).where("kind = 'key_value'").select("doc_id", "node_seq", "group_label", F.explode("pairs").alias("p")).select("doc_id", "node_seq", "group_label", "p.key", "p.value")
 
 
-@query("SELECT * FROM (VALUES ('x', 0, true, 'h1|h2|h3|h4'), ('x', 1, false, '1|2|3|4')) t(doc_id, r, is_header, cells)")
+@query("SELECT page_id::VARCHAR AS doc_id, x.r, x.r = 0 AS is_header, x.cells FROM (SELECT page_id, unnest([{'r': 0, 'cells': 'number|url|chars|page'}, {'r': 1, 'cells': page_id || '|' || url || '|' || length(html) || '|a'}, {'r': 2, 'cells': page_id || '|<b>|'}]) AS x FROM pages)")
 def html_table_grid(spark, sf_dir):
-    rows = parsed_literal(spark).where("kind = 'table'").select("doc_id", F.posexplode("rows").alias("r", "row"))
+    rows = parsed_pages(spark, sf_dir).where("kind = 'table'").select("doc_id", F.posexplode("rows").alias("r", "row"))
     return rows.select("doc_id", "r", F.forall("row", lambda c: c["is_header"]).alias("is_header"), F.array_join(F.transform("row", lambda c: c["text"]), "|").alias("cells"))
 
 
-@query(None)
+@query("SELECT page_id::VARCHAR AS doc_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS section_title, 3 AS n_nodes FROM pages")
 def html_sections(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", parsers.flat_text(F.col("html").cast("binary"), F.lit(True)).alias("text")).select("page_id", F.length("text").alias("n_chars"), F.size(T.whitespace_tokens("text")).alias("n_tokens"))
+    return parsed_pages(spark, sf_dir).groupBy("doc_id", "section_title").agg(F.count("*").cast("int").alias("n_nodes"))
+
+
+ENTITY, TAG = "&(amp;|lt;|gt;|quot;|apos;|#[0-9]+;|#x[0-9a-fA-F]+;)", r"<(/?[A-Z][A-Z0-9\-]*[\s/>]|[!?])"
 
 
-@query("SELECT page_id, regexp_replace(html, '&', '&amp;', 'g') AS escaped FROM (SELECT page_id, 'A&B &amp; ' || page_id AS raw, 'A&B ' || page_id AS html FROM pages)")
+@query(rf"SELECT page_id, replace(replace(regexp_replace(replace(replace(regexp_replace(html, '{ENTITY}', chr(1) || '\1', 'g'), '&', '&amp;'), chr(1), '&'), '{TAG}', chr(2) || '\1', 'g'), '<', '&lt;'), chr(2), '<') AS escaped FROM pages")
 def escape_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", parsers.escape(F.concat(F.lit("A&B "), F.col("page_id").cast("string"))).alias("escaped"))
+    return table(spark, sf_dir, "pages").select("page_id", parsers.escape(F.col("html")).alias("escaped"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(name, '감사보고서') AND contains(name, '연결') THEN 'consolidated_audit_report' WHEN contains(name, '감사보고서') THEN 'separate_audit_report' ELSE 'attachment' END AS kind FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '연결' ELSE '' END || CASE doc_id % 2 WHEN 0 THEN '감사보고서' ELSE lang END AS name FROM documents)")
@@ -555,10 +580,18 @@ def name_resolution_report(spark, sf_dir):
     return validation.name_report(names, table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("name")))
 
 
-@query("WITH r AS (SELECT n_name AS doc_group, s_suppkey AS doc_id, s_acctbal > 0 AS resolved FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT doc_group, count(*) AS total, count(*) FILTER (resolved) AS n_resolved, round(count(*) FILTER (resolved) / count(*), 6) AS rate, count(*) FILTER (resolved) / count(*) >= 0.99 AS healthy, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (NOT resolved), '') AS failed FROM r GROUP BY doc_group")
+@query("WITH r AS (SELECT n_name AS doc_group, s_suppkey AS doc_id, s_acctbal > 0 AS resolved FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT doc_group, count(*) AS total, count(*) FILTER (resolved) AS n_resolved, round(count(*) FILTER (resolved) / count(*), 6) AS rate, count(*) FILTER (resolved) / count(*) >= 0.99 AS healthy FROM r GROUP BY doc_group")
 def resolution_report(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("doc_group"), F.col("s_suppkey").alias("doc_id"), (F.col("s_acctbal") > 0).alias("resolved"))
-    return validation.resolution_report(rows).select("doc_group", "total", "n_resolved", F.round("rate", 6).alias("rate"), "healthy", F.array_join("failed", ",").alias("failed"))
+    return validation.resolution_report(resolutions(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT n_name AS doc_group, s_suppkey AS doc_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal <= 0")
+def resolution_failures(spark, sf_dir):
+    return validation.failures(resolutions(spark, sf_dir))
+
+
+def resolutions(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("doc_group"), F.col("s_suppkey").alias("doc_id"), (F.col("s_acctbal") > 0).alias("resolved"))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT chunk_id, report_id, company, try_cast(filing_date AS INTEGER) AS filing_date_int, is_latest FROM chunks")
@@ -596,10 +629,14 @@ def entity_spans(spark, sf_dir):
     return rows.select("query_id", F.col("s")[1]["corp"].alias("second"), F.col("s")[0]["begin"].alias("begin1"), F.col("s")[0]["end"].alias("end1"))
 
 
-@query("SELECT o_orderkey, (year(o_orderdate) + 10) || '년,' || (year(o_orderdate) + 10) || '.' || month(o_orderdate) || ',3분기' AS periods FROM orders")
+PERIOD = r"(최근\s*\d+\s*년|20\d{2}[.\-]\s*\d{1,2}\s*월?|20\d{2}\s*년?|[1-4]\s*분기|상반기|하반기)"
+ASKED_SQL = "'20' || lpad((doc_id % 24)::VARCHAR, 2, '0') || '년 실적, 2011.' || (1 + doc_id % 12) || ' 그리고 ' || (1 + doc_id % 4) || '분기: '"
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all({ASKED_SQL} || text, '{PERIOD}', 1), lambda x: trim(x)), ',') AS periods FROM documents WHERE text IS NOT NULL")
 def period_extract(spark, sf_dir):
-    text = F.concat(F.year("o_orderdate") + 10, F.lit("년 실적과 "), F.year("o_orderdate") + 10, F.lit("."), F.month("o_orderdate"), F.lit(" 그리고 3분기"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.periods(text), ",").alias("periods"))
+    asked = F.concat(F.lit("20"), F.lpad((F.col("doc_id") % 24).cast("string"), 2, "0"), F.lit("년 실적, 2011."), F.col("doc_id") % 12 + 1, F.lit(" 그리고 "), F.col("doc_id") % 4 + 1, F.lit("분기: "))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(T.periods(F.concat(asked, "text")), ",").alias("periods"))
 
 
 YEARLY_SQL = "y AS (SELECT o_custkey, sum(o_totalprice) FILTER (year(o_orderdate) = 1995) AS a, sum(o_totalprice) FILTER (year(o_orderdate) = 1996) AS b FROM orders GROUP BY o_custkey)"
@@ -671,12 +708,12 @@ def clean_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.clean_lines("text")).alias("n_lines"))
 
 
-EVIDENCE_SQL = f"WITH {CHUNKS_SQL}, {scores_sql('item_id % 8 = 0')}, r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scores QUALIFY rank <= 3)"
+EVIDENCE_SQL = f"WITH {CHUNKS_SQL}, {scores_sql()}, r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scores QUALIFY rank <= 3)"
 
 
 @query(EVIDENCE_SQL + """ SELECT query_id, string_agg('[EVIDENCE ' || rank || ']' || chr(10) || '회사: ' || company || chr(10) || '공시명: None' || chr(10) || '공시일: ' || filing_date || chr(10) || '기간: ' || period || chr(10) || 'Section: ' || chr(10) || '정정 상태: ' || CASE WHEN is_correction THEN '정정본' ELSE '원본' END || CASE WHEN is_latest THEN ' (최신)' ELSE '' END || chr(10) || '내용:' || chr(10) || text || chr(10) || 'report_id: ' || report_id || chr(10) || 'chunk_id: ' || chunk_id || chr(10), chr(10) ORDER BY rank) AS prompt_text FROM r JOIN chunks USING (chunk_id) GROUP BY query_id""")
 def evidence_pack(spark, sf_dir):
-    scores = rounded(retrieval.bm25_scores(index(spark, sf_dir), benchmark_queries(spark, sf_dir).where("query_id % 8 = 0")))
+    scores = rounded(retrieval.bm25_scores(index(spark, sf_dir), benchmark_queries(spark, sf_dir)))
     hits = retrieval.ranked(scores, 3).join(doc_chunks(spark, sf_dir), "chunk_id").withColumn("report_name", F.lit(None).cast("string")).withColumn("section_path", F.array().cast("array<string>"))
     return tools.evidence_text(hits).select("query_id", "prompt_text")
 
@@ -702,7 +739,8 @@ def canonical_call_key(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", T.canonical_key(F.lit("f"), arguments).alias("k"))
 
 
-@query(None)
+@query("""SELECT vec_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+FROM (SELECT vec_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(vec_id::VARCHAR)) AS h FROM embeddings)""")
 def vector_point_ids(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", T.point_id(F.col("vec_id").cast("string")).alias("point_id"))
 
@@ -750,8 +788,17 @@ def event_sessions(spark, sf_dir):
     return stream.sessions(table(spark, sf_dir, "events")).select("user_id", "start", "n")
 
 
-@query("SELECT page_id, '[이미지: ' || url || ' — 원문 참조]' AS text FROM pages")
+@query("SELECT doc_id, section_title, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INTEGER AS node_seq, text FROM (SELECT doc_id, lang AS section_title, x[2] AS i, trim(regexp_replace(x[1], '^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '', 'g')) AS text FROM (SELECT doc_id, lang, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) AS x FROM documents)) WHERE text <> ''")
 def xml_nodes(spark, sf_dir):
+    entity = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    paragraphs = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<P>"), entity(x), F.lit("</P>\n")))
+    body = F.concat(F.lit("<DOCUMENT><BODY><SECTION-1><TITLE>"), entity(F.col("lang")), F.lit("</TITLE><P> </P>"), F.array_join(paragraphs, "<PGBRK/>"), F.lit("</SECTION-1></BODY></DOCUMENT>"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("major").alias("doc_group"), F.lit("xml").alias("file_format"), F.lit(True).alias("is_main"), F.lit("p").alias("path"), body.cast("binary").alias("content"))
+    return parsers.parse(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "section_title", "node_seq", "text")
+
+
+@query("SELECT page_id, '[이미지: ' || url || ' — 원문 참조]' AS text FROM pages")
+def image_captions(spark, sf_dir):
     body = F.concat(F.lit("<DOCUMENT><BODY><SECTION-1><TITLE>t</TITLE><IMAGE><IMG-CAPTION>"), F.col("url"), F.lit("</IMG-CAPTION></IMAGE></SECTION-1></BODY></DOCUMENT>"))
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("major").alias("doc_group"), F.lit("xml").alias("file_format"), F.lit(True).alias("is_main"), F.lit("p").alias("path"), body.cast("binary").alias("content"))
     return parsers.parse(rows).select(F.col("doc_id").cast("long").alias("page_id"), "text")

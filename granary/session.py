@@ -10,6 +10,7 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",  # a key's last value counts, as in field codes
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.pushdown.inFilterThreshold": "400",  # asked terms reach the scan of stored postings
 }
 
 

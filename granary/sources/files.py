@@ -64,11 +64,19 @@ def raw_files(spark: SparkSession, root: str, glob: str = "*.xml") -> DataFrame:
 
 
 def main_files(files: DataFrame, filings: DataFrame) -> DataFrame:
-    """Each filing's files with ``is_main``: the file named after the receipt number, else the first by name is the main one."""
+    """Each filing's files with ``is_main``: the file named after the receipt number, else the first by name is the main one.
+
+    A filing's folder ends with its logical path, both in normal form C: every ending of a folder's name is a key that
+    the paths are joined on.  Files are ranked by their names; contents are joined to those at the end.
+    """
     logical = filings.select("doc_id", "doc_group", "doc_subtype", "file_format", "rcept_no", nfc("file_path").alias("_logical"))
-    rows = files.withColumn("_folder", nfc("folder")).join(logical, F.expr("endswith(_folder, concat('/', _logical)) or _folder = _logical"))
+    parts = F.split(nfc("folder"), "/")
+    endings = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.array_join(F.slice("_parts", i, F.size("_parts")), "/"))
+    names = files.select("path", "stem", "name", parts.alias("_parts")).select("path", "stem", "name", F.explode(endings).alias("_logical"))
+    met = names.join(logical, "_logical")
     first = F.expr("row_number() over (partition by doc_id order by stem = rcept_no desc, name)")
-    return rows.withColumn("is_main", first == 1).drop("_logical", "_folder")
+    ranked = met.select("path", "doc_id", "doc_group", "doc_subtype", "file_format", "rcept_no", (first == 1).alias("is_main"))
+    return files.join(ranked, "path")
 
 
 def resolve(paths: DataFrame, listing: DataFrame, key: str = "path") -> DataFrame:
@@ -77,6 +85,23 @@ def resolve(paths: DataFrame, listing: DataFrame, key: str = "path") -> DataFram
     return paths.withColumn("_k", nfc(key)).join(seen, "_k", "left").drop("_k").withColumn("n_actual", F.coalesce("n_actual", F.lit(0)))
 
 
+#: Names that a diagnosis lists.
+SIBLINGS = 20
+
+
+def unresolved(paths: DataFrame, listing: DataFrame, key: str = "path", most: int = SIBLINGS) -> DataFrame:
+    """Why paths aren't found: ``path, failed_at`` (number of the first part that nothing listed has), ``failed_part`` and ``siblings``, the first ``most`` names that are there instead."""
+    cut_path = lambda c: F.split(nfc(c), "/")
+    begins = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i - 1), "/").alias("above"), F.element_at(parts, i).alias("part")))
+    there = listing.select(F.explode(begins(cut_path(key))).alias("x")).select("x.*").distinct()
+    asked = paths.select(key, F.explode(begins(cut_path(key))).alias("x")).select(key, "x.*")
+    missing = asked.join(there, ["depth", "above", "part"], "left_anti").groupBy(key).agg(F.min(F.struct("depth", "above", "part")).alias("x")).select(key, "x.*")
+    names = there.withColumn("_n", F.expr("row_number() over (partition by depth, above order by part)")).where(F.col("_n") <= most)
+    siblings = names.groupBy("depth", "above").agg(F.array_sort(F.collect_list("part")).alias("siblings"))
+    out = missing.join(siblings, ["depth", "above"], "left")
+    return out.select(key, (F.col("depth") - 1).alias("failed_at"), F.col("part").alias("failed_part"), F.coalesce("siblings", F.array().cast("array<string>")).alias("siblings"))
+
+
 def folders(listing: DataFrame, depth: int = 0, key: str = "path") -> DataFrame:
     """Distinct names of folders at a depth; names that begin with a dot are skipped."""
     name = nfc(F.get(F.split(key, "/"), F.lit(depth)))

@@ -2,18 +2,56 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+_stored: dict[tuple, object] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.  Only a session on one machine may do without: it gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="granary-")
+    return _local[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a written table: a plan that grows by the round is cut, and a lost executor loses nothing.
+    """The same rows from a written table: a plan that grows by the round is cut, and a lost executor loses nothing."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    The folder is the one in ``spark.checkpoint.dir``; a default is used only where that is unset (tests).
-    """
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def state_of(df: DataFrame) -> tuple:
+    """The files that a table consists of, with their sizes and times: what is derived from it holds as long as these do."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = []
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def stored(source: DataFrame, name: str, make: Callable[[str], object]):
+    """What ``make`` stores under the path it is given, made once in a session for each state of the source's files."""
+    spark = source.sparkSession
+    key = (spark.sparkContext.applicationId, name, state_of(source))
+    if key not in _stored:
+        _stored[key] = make(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _stored[key]

@@ -240,7 +240,8 @@ def test_validation(spark):
 def test_reports(spark):
     rows = spark.createDataFrame([("a", "1", True), ("a", "2", False), ("b", "3", True)], "doc_group string, doc_id string, resolved boolean")
     out = {r.doc_group: r for r in validation.resolution_report(rows).collect()}
-    assert out["a"].failed == ["2"] and not out["a"].healthy and out["b"].healthy
+    assert (out["a"].total, out["a"].n_resolved) == (2, 1) and not out["a"].healthy and out["b"].healthy
+    assert [tuple(r) for r in validation.failures(rows).collect()] == [("a", "2")]
     names = spark.createDataFrame([("x",), ("y",)], "name string")
     assert {tuple(r) for r in validation.name_report(names, spark.createDataFrame([("y",), ("z",)], "name string")).collect()} == {("y", "matched"), ("x", "missing"), ("z", "extra")}
 
