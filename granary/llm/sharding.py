@@ -207,5 +207,8 @@ def shard_of(docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame
     rows = scratch.write(docs.select((F.octet_length(raw) + F.lit(16)).cast("long").alias("size"), F.sha2(raw, 256).alias("digest")), "rows")
     _, starts = partition(rows, shards)
     scratch.drop("rows")
-    digest = F.sha2(raw, 256)
-    return docs.withColumn("shard", F.size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= digest)) if starts else F.lit(0))
+    if not starts:
+        return docs.withColumn("shard", F.lit(0))
+    # The digest is an element of an array, so that it is computed once a row and not for every boundary.
+    shards_of = F.transform(F.array(F.sha2(raw, 256)), lambda digest: F.size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= digest)))
+    return docs.withColumn("shard", shards_of[0])
