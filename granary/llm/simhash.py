@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch, map_batches, utf8
+from granary.llm.common import Scratch, map_batches, spare, utf8
 from granary.llm.components import connected
 
 SEED = 42
@@ -37,7 +37,7 @@ SHINGLE = 4
 #: Fingerprints under one key that a task compares with each other; larger buckets are compared block by block.
 BUCKET = 20_000
 #: Buckets up to this size are compared pair by pair, all of a stretch at once; rows of a stretch.
-FEW, STRETCH = 64, 1 << 15
+FEW, STRETCH = 256, 1 << 15
 
 
 def _votes(values: np.ndarray) -> np.ndarray:
@@ -78,9 +78,9 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without its text, with ``fp``: the fingerprint as a signed 64-bit number."""
-    rest = [c for c in docs.columns if c != text]
-    carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias("_text"))
+    """``docs`` without its text, with ``fp`` (in place of a column of that name): the fingerprint as a signed 64-bit number."""
+    rest = [c for c in docs.columns if c not in (text, "fp")]
+    carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias(spare(docs)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1]), "fp long"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -161,10 +161,28 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[least[other]], nodes[other]
 
 
+def names_of(words: list[np.ndarray]) -> np.ndarray:
+    """64-bit names of fingerprints: the fingerprint itself, or a hash of its words."""
+    if len(words) == 1:
+        return words[0].view(np.int64)
+    out = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        out = mixed(out + w)
+    return out.view(np.int64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads what they differ in over all bits."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, segments: Segments = Segments(SEGMENTS, 64 // SEGMENTS), within: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints within ``radius``: enough to connect whatever links connect.
 
-    ``distinct`` has ``fp`` (whose value names the fingerprint) or ``id, fp0, fp1, ...``.  ``within`` is the radius of a
+    ``distinct`` has ``fp`` or ``fp0, fp1, ...``, and a fingerprint's name is that of ``names_of``.  ``within`` is the radius of a
     segment's ball; at ``radius // segments.count`` (the default) every link is found, a smaller one finds those of which
     some segment is that close.  A bucket of more than ``bucket`` fingerprints is dealt to blocks, and every pair of blocks
     is a group of its own, so that no task holds more than two blocks of a key.
@@ -174,8 +192,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: Segments = Segmen
         raise ValueError("the ball's radius is halved between table and query: it has to be even")
     words64 = segments.words64
     masks = np.array(ball(segments.width, whole // 2), np.uint64)
-    names = ["fp"] if words64 == 1 and "fp" in distinct.columns else [f"fp{i}" for i in range(words64)]
-    named = names if names == ["fp"] else ["id", *names]  # what travels: the fingerprint, and its name unless it is one
+    names = ["fp"] if words64 == 1 else [f"fp{i}" for i in range(words64)]
 
     # Keys with many fingerprints, found from the counts of plain segment values.
     parts = [F.struct(F.lit(i).alias("s"), segments.column(names, i).alias("v")) for i in range(segments.count)]
@@ -194,57 +211,63 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: Segments = Segmen
         fps = [batch.column(batch.num_columns - words64 + w).to_numpy().view(np.uint64) for w in range(words64)]
         keys = np.concatenate([(segments.values(fps, i)[:, None] ^ masks[None, :]) | np.uint64(i << 56) for i in range(segments.count)], axis=1)
         again = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in batch.columns)], names=["key", *named])
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in batch.columns)], names=["key", *names])
 
-    table = map_batches(distinct.select(*named), keys_of, ", ".join(f"{c} long" for c in ["key", *named]))
+    table = map_batches(distinct.select(*names), keys_of, ", ".join(f"{c} long" for c in ["key", *names]))
     hot = Scratch(distinct.sparkSession, "simhash-hot").write(hot, "hot")
+    group = ["key"]
     if not hot.isEmpty():
+        group = ["key", "b1", "b2"]
         dealt = table.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         mine = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
         table = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or mine <> other").select(
-            "key", *named, F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2")
+            "key", F.least("mine", "other").cast("long").alias("b1"), F.greatest("mine", "other").cast("long").alias("b2"), *names
         )
-    else:
-        table = table.select("key", *named, F.lit(0).alias("b1"), F.lit(0).alias("b2"))
+    by = len(group)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of equal (key, b1, b2) in sorted batches, a stretch of rows at a time; the last group of a stretch may go on in the next one."""
+        """Groups of equal keys (and blocks) in sorted batches, a stretch of rows at a time; the last group of a stretch may go on in the next one."""
         held: list[np.ndarray] = []
         size = 0
+        starts_of = lambda rows: np.flatnonzero((rows[:by, 1:] != rows[:by, :-1]).any(axis=0)) + 1
         for batch in batches:
-            held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns]))
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
             size += batch.num_rows
-            if size < STRETCH or (held[0][[0, -2, -1], -1] == held[-1][[0, -2, -1], -1]).all():
+            if size < STRETCH or (held[0][:by, 0] == held[-1][:by, -1]).all():
                 continue
             rows = np.concatenate(held, axis=1)
-            starts = np.flatnonzero((rows[[0, -2, -1], 1:] != rows[[0, -2, -1], :-1]).any(axis=0)) + 1
-            yield from emit(rows[1:-2, : starts[-1]], starts[:-1])
+            starts = starts_of(rows)
+            yield from emit(rows[by:, : starts[-1]], starts[:-1])
             held, size = [rows[:, starts[-1] :]], rows.shape[1] - starts[-1]
         if held:
             rows = np.concatenate(held, axis=1)
-            yield from emit(rows[1:-2], np.flatnonzero((rows[[0, -2, -1], 1:] != rows[[0, -2, -1], :-1]).any(axis=0)) + 1)
+            yield from emit(rows[by:], starts_of(rows))
 
     def emit(rows: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, fps = rows[0], np.ascontiguousarray(rows[-words64:].T).view(np.uint64)
+        words = [np.ascontiguousarray(r).view(np.uint64) for r in rows]
+        ids = names_of(words)
         starts = np.concatenate(([0], cuts))
         sizes = np.diff(np.concatenate((starts, [len(ids)])))
-        left = np.repeat(sizes, sizes) - (np.arange(len(ids)) - np.repeat(starts, sizes))  # rows of the group from here on
-        few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+        few = sizes <= FEW
+        left = np.repeat(sizes * few, sizes) - (np.arange(len(ids)) - np.repeat(starts, sizes))  # rows of a small group from here on
         edges = []
-        for lag in range(1, FEW):
-            few = few[left[few] > lag]
-            if not len(few):
-                break
-            near = few[_distances(fps[few], fps[few + lag]) <= radius]
+        for lag in range(1, sizes[few].max(initial=0)):
+            far = np.bitwise_count(words[0][:-lag] ^ words[0][lag:]).astype(np.uint16)
+            for w in words[1:]:
+                far += np.bitwise_count(w[:-lag] ^ w[lag:])
+            near = np.flatnonzero(far <= radius)
+            near = near[left[near] > lag]
             edges.append(np.stack([ids[near], ids[near + lag]]))
-        for at, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-            if found := _trees(ids[at : at + n], fps[at : at + n], radius):
-                edges.append(np.array(found, np.int64).T)
+        if not few.all():
+            fps = np.stack(words, axis=1)
+            for at, n in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+                if found := _trees(ids[at : at + n], fps[at : at + n], radius):
+                    edges.append(np.array(found, np.int64).T)
         if edges and (out := np.concatenate(edges, axis=1)).shape[1]:
             a, b = _stars(out[0], out[1])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return table.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(compare, "a long, b long")
+    return table.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
@@ -275,11 +298,13 @@ def report(docs: DataFrame) -> DataFrame:
 #: Shingles and the Jaccard similarity from which documents are linked.
 WORDS, LEAST = 5, 0.8
 #: Share of the pairs at just that similarity that segments may miss, radius of a segment's ball, and the bits by which segments are shorter than the logarithm of the number of documents.
-MISSED, WITHIN, CROWDING = 0.004, 2, 2
+MISSED, WITHIN, CROWDING = 0.004, 2, 4
 #: Standard deviations by which the radius exceeds the mean distance of pairs at just that similarity.
 DEVIATIONS = 3.0
 #: Shingles and sets of a block; a task compares two blocks at a time.
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 20, 1024
+#: Sets up to which a shingle counts as one that few share.
+HOLDERS = 16
 
 
 @dataclass(frozen=True)
@@ -319,52 +344,61 @@ def set_name(values: np.ndarray) -> int:
 def set_fingerprint(values: np.ndarray, words64: int) -> list[int]:
     """SimHash over a shingle set; further words of 64 bits come from the hashes mixed again."""
     out = []
-    for i in range(words64):
-        h = values + np.uint64((i * 0x9E3779B97F4A7C15) % (1 << 64))
-        if i:
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-        out.append(_signed(_majority(h)) if len(h) else 0)
+    for _ in range(words64):
+        out.append(_signed(_majority(values)) if len(values) else 0)
+        values = mixed(values)
     return out
 
 
 def sketches(tagged: DataFrame, words64: int, shingle: int = WORDS) -> DataFrame:
-    """``key, th, id, n, fp0, fp1, ...`` of ``key, th, text``: the shingle set's hash, its size, its fingerprint."""
+    """``key, th, id, n, name, fp0, fp1, ...`` of ``key, th, text``: the shingle set's hash, its size, its fingerprint and that one's name."""
     names = [f"fp{i}" for i in range(words64)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(raw, shingle) for raw in batch.column(2).to_pylist()]
-        fps = [set_fingerprint(s, words64) for s in sets]
-        made = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[i] for f in fps], pa.int64()) for i in range(words64))]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["key", "th", "id", "n", *names])
+        fps = np.array([set_fingerprint(s, words64) for s in sets], np.int64).reshape(-1, words64).T
+        named = names_of([np.ascontiguousarray(w).view(np.uint64) for w in fps])
+        made = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(named), *map(pa.array, fps)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["key", "th", "id", "n", "name", *names])
 
     kind = tagged.schema["key"].dataType.simpleString()
-    return map_batches(tagged.select("key", "th", utf8("text").alias("raw")), run, ", ".join([f"key {kind}", "th long", "id long", "n long", *(f"{c} long" for c in names)]))
+    return map_batches(tagged.select("key", "th", utf8("text").alias("raw")), run, ", ".join([f"key {kind}", "th long", "id long", "n long", "name long", *(f"{c} long" for c in names)]))
 
 
 def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Edges (places in ``sets``) that connect what pairs with a Jaccard similarity of ``least`` connect.
 
-    Sizes of intersections are products of an incidence matrix with its transpose, a stretch of shingles at a time;
-    shingles of one set only add nothing.
+    Sizes of intersections: shingles that few sets share are counted pair by pair of these sets, those of many in products of an
+    incidence matrix with its transpose, a stretch of shingles at a time.  Shingles of one set only add nothing.
     """
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
-    shared = np.bincount(column) > 1
-    kept = shared[column]
-    owner, column = owner[kept], (np.cumsum(shared) - 1)[column[kept]]
+    holders = np.bincount(column)
+    both = np.zeros((n, n))
+    few = np.flatnonzero((holders[column] > 1) & (holders[column] <= HOLDERS))
+    few = few[np.argsort(column[few], kind="stable")]
+    for lag in range(1, min(HOLDERS, n)):
+        a, b = few[:-lag], few[lag:]
+        same = column[a] == column[b]
+        if not same.any():
+            break
+        pair = np.bincount(owner[a[same]] * n + owner[b[same]], minlength=n * n).reshape(n, n)  # owners rise within a shingle
+        both += pair
+    both = (both + both.T).astype(np.float32)
+    many = holders > HOLDERS
+    kept = many[column]
+    owner, column = owner[kept], (np.cumsum(many) - 1)[column[kept]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both = np.zeros((n, n), np.float32)
-    width = max(64, (1 << 22) // n)
-    for first in range(0, int(shared.sum()), width):
+    width = max(1, min(int(many.sum()), (1 << 22) // n))
+    for first in range(0, int(many.sum()), width):
         a, b = np.searchsorted(column, (first, first + width))
         part = np.zeros((n, width), np.float32)
         part[owner[a:b], column[a:b] - first] = 1
         both += part @ part.T
+    np.fill_diagonal(both, sizes)
     near = both / (sizes[:, None] + sizes[None, :] - both.astype(np.float64)) >= least
     edges: list[tuple[int, int]] = []
     left = np.ones(n, bool)
@@ -379,39 +413,41 @@ def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]
     return edges
 
 
-def verified(members: DataFrame, sets: DataFrame, least: float = LEAST, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """Edges ``a, b`` that connect what similar pairs within the groups of ``members`` (``id, n, root``) connect; ``sets`` has ``id, grams``.
+def verified(texts: DataFrame, least: float = LEAST, shingle: int = WORDS) -> DataFrame:
+    """Edges ``a, b`` that connect what similar pairs within groups connect, from ``id, root, blocks, mine, raw``.
 
-    A group larger than a block is dealt to blocks, and every pair of blocks is compared on its own.
+    The rows of a group ``root`` lie in ``blocks`` blocks, each in ``mine``.  Every pair of blocks is compared on its
+    own, a single block with itself; a row that comes twice counts once.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("count"), F.sum("n").alias("sum"))
-    blocks = F.ceil(F.greatest(F.col("count") / block_sets, F.col("sum") / block_shingles)).cast("int")
-    dealt = members.join(sizes.select("root", blocks.alias("blocks")), "root")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.where("blocks = 1 or mine <> other").select("root", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "id")
-    table = dealt.join(sets, "id").select("root", "b1", "b2", "id", "grams")
-
-    def solve(ids: list[int], grams: list[bytes]) -> pa.RecordBatch | None:
-        if len(ids) < 2:
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams = pa.array([shingle_set(raw, shingle).tobytes() for raw in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], grams], names=["id", "root", "blocks", "mine", "grams"])
+
+    rows = map_batches(texts.select("id", "root", "blocks", "mine", "raw"), sets, "id long, root long, blocks int, mine int, grams binary")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or mine <> other")
+    table = dealt.select("root", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "id", "grams")
+
+    def solve(held: dict[int, bytes]) -> pa.RecordBatch | None:
+        if len(held) < 2:
             return None
-        edges = similar_forest([np.frombuffer(g, np.uint64) for g in grams], least)
+        edges = similar_forest([np.frombuffer(g, np.uint64) for g in held.values()], least)
         if not edges:
             return None
-        a, b = (np.array(ids, np.int64)[list(side)] for side in zip(*edges, strict=True))
+        ids = np.fromiter(held, np.int64, len(held))
+        a, b = (ids[list(side)] for side in zip(*edges, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, grams = None, [], []
+        last, held = None, {}
         for batch in batches:
-            for root, b1, b2, i, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for root, b1, b2, i, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (root, b1, b2) != last:
-                    if (out := solve(ids, grams)) is not None:
+                    if (out := solve(held)) is not None:
                         yield out
-                    last, ids, grams = (root, b1, b2), [], []
-                ids.append(i)
-                grams.append(g)
-        if (out := solve(ids, grams)) is not None:
+                    last, held = (root, b1, b2), {}
+                held[i] = grams
+        if (out := solve(held)) is not None:
             yield out
 
     return table.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2").mapInArrow(run, "a long, b long")
@@ -442,20 +478,18 @@ def deduplicate(docs: DataFrame, least: float = LEAST, shingle: int = WORDS, tex
     names = [f"fp{i}" for i in range(how.segments.words64)]
     tagged = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text], docs[text].isNull()).alias("th"))
     rows = scratch.write(sketches(tagged, how.segments.words64, shingle), "rows")
-    distinct = rows.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("first"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in names))
+    distinct = rows.groupBy("id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("first"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ["name", *names]))
     distinct = scratch.write(distinct, "distinct")
 
-    close = scratch.write(connected(links(distinct.where("n > 0"), how.radius, how.segments, WITHIN), scratch), "close")
-    inside = close.select(F.col("node").alias("id"), "root").unionByName(close.select(F.col("root").alias("id"), "root").distinct())
-    members = scratch.write(distinct.select("id", "n", "first").join(inside, "id"), "members")
-    # The texts of group members come again from the input, one row for each set.
-    wanted = members.select("id", F.col("first.key").alias("_key"), F.col("first.th").alias("_th"))
-    found = tagged.join(wanted, tagged["key"].eqNullSafe(wanted["_key"]) & (tagged["th"] == wanted["_th"])).select("id", utf8("text").alias("raw"))
-
-    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(raw, shingle).tobytes() for raw in batch.column(1).to_pylist()], pa.binary())], names=["id", "grams"])
-
-    sets = scratch.write(map_batches(found, grams, "id long, grams binary").dropDuplicates(["id"]), "sets")
-    roots = connected(verified(members.select("id", "n", "root"), sets, least, block_sets=block_sets), scratch)
+    points = scratch.write(distinct.where("n > 0").groupBy(*names).agg(F.first("name").alias("name")), "points")
+    close = scratch.write(connected(links(points, how.radius, how.segments, WITHIN), scratch), "close")
+    members = distinct.where("n > 0").join(close, F.col("name") == F.col("node"), "left").select("id", "n", "first", F.coalesce("root", "name").alias("root"))
+    members = scratch.write(members, "members")
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("m > 1")
+    wanted = members.join(sizes, "root").select("id", "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"), F.col("first.key").alias("_key"), F.col("first.th").alias("_th"))
+    # The texts of group members come again from the input; of equal rows one counts.
+    wanted = scratch.write(wanted, "wanted")
+    found = tagged.join(wanted, tagged["key"].eqNullSafe(wanted["_key"]) & (tagged["th"] == wanted["_th"])).select("id", "root", "blocks", "mine", utf8("text").alias("raw"))
+    roots = connected(verified(found, least, shingle), scratch)
     groups = distinct.join(roots, distinct["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     return one_of_each(docs, groups, rows, scratch, text, key)
