@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,15 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.storage import remove, shared_folder
+
 #: Rows an Arrow batch holds: texts can be long, and a Python worker holds a batch at a time.
 BATCH_ROWS = 512
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a default only where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
@@ -28,6 +26,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, step: str) -> str:
         return f"{self.root}/{step}"
@@ -37,10 +36,25 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(step))
 
     def drop(self, *steps: str) -> None:
-        jvm = self.spark._jvm
         for step in steps:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(step))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self.path(step))
+
+
+#: Folders of all intermediate tables of an application, in the order in which they were begun.
+_roots: dict[str, list[str]] = {}
+
+
+def begun(spark: SparkSession) -> int:
+    """A mark for ``cleanup``: how many folders of intermediate tables there are."""
+    return len(_roots.get(spark.sparkContext.applicationId, []))
+
+
+def cleanup(spark: SparkSession, since: int = 0) -> None:
+    """Removes the intermediate tables begun since a mark.  Results that are read from them have to be stored or done with by then."""
+    roots = _roots.get(spark.sparkContext.applicationId, [])
+    for root in roots[since:]:
+        remove(spark, root)
+    del roots[since:]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -73,15 +87,43 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % parts
 
 
-def sampled(df: DataFrame, key: Column, label: Column, bound: int) -> DataFrame:
-    """About ``bound`` rows of each label at most, by a hash of the key: the same rows at every run.
+def spare(df: DataFrame, name: str = "_text") -> str:
+    """A name that no column of ``df`` has."""
+    return name + "_" * max([0, *(len(c) for c in df.columns if c.startswith(name))])
+
+
+def share_of(hashed: Column) -> Column:
+    """A hash as a number from 0 to 1."""
+    return F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, features: Callable[[bytes], bytes], key: str, text: str, longest: int | None = None) -> tuple[list[int], list[bytes], dict[int, int]] | None:
+    """Labels and features of a bounded sample of labelled texts, the same ones at every run, and how many keys have each label; None without both labels.
 
-    Counts cover all rows; the share kept of a label is ``bound`` over its count.
+    A key that is marked 0 and 1 isn't learnt from, and one that is marked repeatedly counts once, as do equal rows of
+    ``docs``.  Of each label at most ``sample`` texts are taken (of at most ``longest`` bytes, if that is given): those of the smallest hashes of
+    key and text, among keys picked by a hash.  Only features travel.
     """
-    rows = df.withColumn("_label", label)
-    counts = rows.groupBy("_label").count().withColumnRenamed("count", "_n")
-    u = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(F.broadcast(counts), "_label").where(u < F.lit(float(bound)) / F.col("_n")).drop("_n", "_label")
+    marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z")).where("y = z")
+    counts = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
+    if len(counts) < 2:
+        return None
+    # Somewhat more keys than are taken, so that hardly ever fewer than the sample are left: their number is bounded by the sample.
+    room = sample + 4 * math.sqrt(sample) + 20
+    picked = marks.select("k", "y").where(share_of(F.xxhash64("k", F.lit("sample"))) < F.when(F.col("y") == 1, min(1.0, room / counts[1])).otherwise(min(1.0, room / counts[0])))
+    rows = docs.select(F.col(key).alias("k"), utf8(text).alias("raw"))
+    rows = rows if longest is None else rows.where(F.octet_length("raw") <= longest)
+    rows = rows.join(F.broadcast(picked), "k").select("y", F.xxhash64("k", "raw").alias("h"), "raw")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = pa.array([features(raw) for raw in batch.column(2).to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], made], names=["y", "h", "x"])
+
+    made = map_batches(rows, run, "y int, h long, x binary").dropDuplicates(["y", "h"])
+    got = made.withColumn("n", F.expr("row_number() over (partition by y order by h)")).where(F.col("n") <= sample).select("y", "h", "x").toArrow()
+    got = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))
+    ys = [y for y, _, _ in got]
+    return (ys, [x for _, _, x in got], counts) if len(set(ys)) == 2 else None
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import fold, map_batches, utf8
+from granary.llm.common import fold, map_batches, spare, utf8
 from granary.llm.subword import buckets, softmax
 
 BITS = 13
@@ -116,14 +116,14 @@ def _shares(counts: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``lang_pred, score, rejected``.
+    """``docs`` without its text, with ``lang_pred, score, rejected`` (in place of columns of these names).
 
     A null text and a text without a letter is ``und`` with score 0, rejected; so is every text if there
     is no model.  The answer to a text is the likeliest language and its calibrated probability;
     ``rejected`` marks those below the calibrated bound.
     """
-    rest = [c for c in docs.columns if c != text]
-    carried = docs.select(*[docs[c] for c in rest], F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias("_letter"), utf8(docs[text]).alias("_text"))
+    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score", "rejected")]
+    carried = docs.select(*[docs[c] for c in rest], F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias(spare(docs, "_letter")), utf8(docs[text]).alias(spare(docs)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-2]), "lang_pred string, score double, rejected boolean"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

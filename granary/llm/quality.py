@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import fold, map_batches, sampled, utf8
+from granary.llm.common import fold, labelled, map_batches, spare, utf8
 
 #: Labelled rows of each label that a model is fitted on.
 SAMPLE = 6000
@@ -116,25 +116,14 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float = 8.0,
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id", label: str = "quality") -> Forest | None:
     """A forest from the rows that ``labels`` marks 0 or 1; None without both labels.
 
-    Bounded: about ``sample`` labels of each kind, picked by a hash of the key, whole texts.  Rows are
+    Bounded: at most ``sample`` texts of each label, whole ones; conflicting and repeated marks as in ``labelled``.  Rows are
     weighted back to the labels' shares.
     """
-    marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y"))
-    counts = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
-    if len(counts) < 2:
+    got = labelled(docs, labels, label, sample, lambda raw: statistics(raw).tobytes(), key, text)
+    if got is None:
         return None
-    picked = sampled(marks, F.col("k"), F.col("y"), sample).limit(4 * sample)
-
-    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(raw).tobytes() for raw in batch.column(1).to_pylist()], pa.binary())], names=["y", "x"])
-
-    rows = docs.select(F.col(key).alias("k"), utf8(text).alias("raw")).join(F.broadcast(picked), "k").select("y", "raw")  # picked: 4 * sample rows at most
-    got = map_batches(rows, features, "y int, x binary").limit(4 * sample).toArrow()
-    got = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    y = np.array([label for label, _ in got], np.float64)
-    if len(set(y.tolist())) < 2:
-        return None
-    x = np.stack([np.frombuffer(raw) for _, raw in got])
+    y, counts = np.array(got[0], np.float64), got[2]
+    x = np.stack([np.frombuffer(raw) for raw in got[1]])
     seen = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, counts[1] / seen[1], counts[0] / seen[0])
     return train(x, y, weight / weight.mean())
@@ -147,9 +136,9 @@ def _score_batch(model: Forest | None, texts: list[bytes]) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Forest | None, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` without its text, with ``score`` and ``predicted``.  Null texts score as empty ones; without a model all score 0."""
-    rest = [c for c in docs.columns if c != text]
-    carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias("_text"))
+    """``docs`` without its text, with ``score`` and ``predicted`` (in place of columns of these names).  Null texts score as empty ones; without a model all score 0."""
+    rest = [c for c in docs.columns if c not in (text, "score", "predicted")]
+    carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias(spare(docs)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1]), "score double, predicted int"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -29,10 +29,36 @@ def buckets(raw: bytes, bits: int) -> list[np.ndarray]:
         else:
             h = h[:-1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(n)
         if n in ORDERS:
-            out.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits))
+            out.append(_bucket(h, bits))
     return out
 
 
+def word_grams(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each n-gram within a word and its fences, by word: its bucket, the word's number, its place in the text and its length."""
+    data = _LOWER[np.frombuffer(b" " + raw + b" ", np.uint8)]
+    blanks = np.concatenate(([0], np.cumsum(data == 0x20)))
+    parts: list[tuple[np.ndarray, ...]] = []
+    h = data
+    for n in range(2, ORDERS[-1] + 1):
+        if len(data) < n:
+            break
+        h = h[:-1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(n)
+        if n in ORDERS:
+            last = len(data) - n + 1
+            place = np.flatnonzero(blanks[n - 1 : n - 1 + last] == blanks[1 : 1 + last])  # no blank but at the ends
+            parts.append((_bucket(h[place], bits), blanks[1 + place], place, np.full(len(place), n)))
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    grams, word, place, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(word, kind="stable")
+    word = np.unique(word[order], return_inverse=True)[1]
+    return grams[order].astype(np.int64), word, place[order], size[order]
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
+
+
 def softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)

@@ -1,9 +1,10 @@
 """Toxicity: subword-bag embeddings, averaged, under a linear softmax; all trained together in numpy.
 
-A toxic text is mostly harmless words, so bags are short: the byte n-grams around some places in a
-row.  A text scores as its most toxic bag does.  In training, a text's label is that of its
-worst bag (multiple-instance learning), and both layers learn from that bag.  Words that were never
-seen, such as misspellings, share n-gram vectors with those that were.
+A bag holds the byte n-grams of a word within its fences; their embeddings are averaged and go through the softmax.  A toxic
+text is mostly harmless words, so a text scores as its most toxic word does.  Training begins with the whole text as
+one bag, which finds the n-grams that matter; then a text's label is that of its worst word (multiple-instance learning), and both
+layers learn from that word.  Half of these bags lack the n-grams over a random place, as those of a misspelt word do.
+Words that were never seen, such as misspellings, share n-gram vectors with those that were.
 """
 
 from __future__ import annotations
@@ -15,96 +16,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import fold, map_batches, sampled, utf8
-from granary.llm.subword import buckets, softmax
+from granary.llm.common import fold, labelled, map_batches, spare, utf8
+from granary.llm.subword import softmax, word_grams
 
 BITS = 17
 WIDTH = 8
-#: Places of n-grams in a bag.
+#: N-grams over which a shorter word's are averaged too, as if the rest were silent: a bag of one n-gram is no strong evidence.
 BAG = 10
 #: Labelled texts of each label that a model is fitted on, and the bytes of the longest one taken for that.
 SAMPLE, SAMPLE_BYTES = 3000, 50_000
-#: Passes over the sample, and steps at least (a small sample is passed more often).
-EPOCHS, STEPS = 12, 40_000
-#: Share of an n-gram's log odds over texts with which its embedding starts.
-START = 0.5
+#: Passes over the sample, and steps at least (a small sample is passed more often); the share of them with whole texts as bags, and those bags' scale.
+EPOCHS, STEPS, WHOLE, SCALE = 12, 40_000, 0.25, 64.0
+#: Share of the worst words in training that are masked at a place.
+MASKED = 0.5
 
 
 @dataclass
 class ToxicityModel:
     table: np.ndarray  # toxic minus harmless logit that a bucket adds to a bag's mean
     bias: float
-    slope: float = 1.0  # calibration of the worst bag's logit
+    slope: float = 1.0  # calibration of the worst word's logit
     shift: float = 0.0
 
     def worst(self, raw: bytes) -> float:
-        return _worst([b for b in buckets(raw, BITS)], self.table)[0] + self.bias
+        grams, word, _, _ = word_grams(raw, BITS)
+        return _worst(grams, word, self.table)[0] + self.bias
 
     def score(self, raw: bytes) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.worst(raw) + self.shift, -40, 40))))
 
 
-def _worst(grams: list[np.ndarray], table: np.ndarray) -> tuple[float, int]:
-    """Mean over the worst bag, and the bag's first place."""
-    n = len(grams[0])
-    values = table[grams[0]]
-    for g in grams[1:]:
-        values[: len(g)] += table[g]
-    sums = np.zeros(n + 1)
-    np.cumsum(values, out=sums[1:])
-    if n <= BAG:
-        return float(sums[-1]) / BAG, 0
-    bags = sums[BAG:] - sums[:-BAG]
-    at = int(bags.argmax())
-    return float(bags[at]) / BAG, at
+def _worst(grams: np.ndarray, word: np.ndarray, table: np.ndarray) -> tuple[float, int]:
+    """The mean over the worst word's bag, and which word that is; 0 for a text without words."""
+    if not len(grams):
+        return 0.0, 0
+    means = np.bincount(word, weights=table[grams]) / np.maximum(np.bincount(word), BAG)
+    at = int(means.argmax())
+    return float(means[at]), at
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, seed: int = 1) -> ToxicityModel:
+def features(raw: bytes) -> bytes:
+    """The distinct words of a text, lower-cased."""
+    return b" ".join(sorted(set(raw.lower().split())))
+
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, seed: int = 1) -> ToxicityModel:
     """Fits on four fifths of the texts, calibrates on the fifth."""
     rng = np.random.default_rng(seed)
-    grams = [buckets(t, BITS) for t in texts]
+    bags = [word_grams(t, BITS) for t in texts]
     order = rng.permutation(len(texts))
     fit, held = order[len(texts) // 5 :], order[: len(texts) // 5]
     embed = rng.normal(0, 0.02, (1 << BITS, WIDTH)).astype(np.float32)
-    weights = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    # Training starts from what is known without bags: how much more often than not a text with the n-gram is toxic.
-    seen = np.zeros((2, 1 << BITS))
-    for i in fit:
-        seen[labels[i], np.unique(np.concatenate(grams[i]))] += 1
-    totals = np.bincount(labels[fit], minlength=2).clip(1)
-    odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
-    odds[seen.sum(axis=0) < 2] = 0
-    toward = weights[:, 1] - weights[:, 0]
-    embed += np.outer(odds, START * toward / (toward @ toward)).astype(np.float32)
+    weights, bias = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
+    past = np.full(1 << BITS, 1e-2, np.float32)  # squared steps of each bucket so far: its next ones are scaled by them
     prior = np.bincount(labels[fit], minlength=2).clip(1) / max(1, len(fit))
-    table = embed @ (weights[:, 1] - weights[:, 0])
+    logit = lambda rows: embed[rows] @ (weights[:, 1] - weights[:, 0])
+    table = logit(slice(None))
     epochs = max(epochs, -(-STEPS // max(1, len(fit))))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(fit):
-            if not len(grams[i][0]):
+            grams, word, place, size = bags[i]
+            if not len(grams):
                 continue
-            _, at = _worst(grams[i], table)
-            bag = np.concatenate([g[at : at + BAG] for g in grams[i]])
-            hidden = embed[bag].sum(axis=0) / BAG
+            scale, bag, full = SCALE, grams, len(grams)
+            if epoch >= WHOLE * epochs:
+                at = _worst(grams, word, table)[1]
+                mine = slice(*np.searchsorted(word, (at, at + 1)))
+                scale, bag, full = 1.0, grams[mine], mine.stop - mine.start
+                begin, end = place[mine], place[mine] + size[mine]
+                if rng.random() < MASKED and end.max() - begin.min() > 2:
+                    hole = rng.integers(begin.min() + 1, end.max() - 1)
+                    bag = bag[(begin > hole) | (end <= hole)]
+            rows, times = np.unique(bag, return_counts=True)
+            share = (scale * times / max(full, BAG)).astype(np.float32)
+            hidden = share @ embed[rows]
             error = softmax(hidden @ weights + bias)
             error[labels[i]] -= 1
             error = error * np.float32(0.5 / prior[labels[i]])
             d_hidden = weights @ error
             weights -= 0.02 * step * np.outer(hidden, error)
             bias -= 0.02 * step * error
-            np.subtract.at(embed, bag, step * d_hidden)
-            ids = np.unique(bag)
-            table[ids] = embed[ids] @ (weights[:, 1] - weights[:, 0])
-        table = embed @ (weights[:, 1] - weights[:, 0])
+            past[rows] += share * share * float(d_hidden @ d_hidden)
+            embed[rows] -= (step * share / np.sqrt(past[rows]))[:, None] * d_hidden[None, :]
+            table[rows] = logit(rows)
+        table = logit(slice(None))
     model = ToxicityModel(table.astype(np.float32), float(bias[1] - bias[0]))
     _calibrate(model, [texts[i] for i in held], labels[held])
     return model
 
 
 def _calibrate(model: ToxicityModel, texts: list[bytes], labels: np.ndarray) -> None:
-    """Logistic regression of the label on the worst bag's logit, both labels counting alike."""
+    """Logistic regression of the label on the worst word's logit, both labels counting alike."""
     if len(set(labels.tolist())) < 2:
         return
     x = np.array([model.worst(t) for t in texts])
@@ -120,21 +123,20 @@ def _calibrate(model: ToxicityModel, texts: list[bytes], labels: np.ndarray) ->
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_BYTES, text: str = "text", key: str = "doc_id", label: str = "toxic") -> ToxicityModel | None:
     """A model from the rows that ``labels`` marks 0 or 1; None without both labels.
 
-    Bounded: about ``sample`` labels of each kind, picked by a hash of the key, of texts of at most
-    ``longest`` bytes, taken whole.
+    Bounded: at most ``sample`` texts of each label, of at most ``longest`` bytes, taken whole; conflicting and repeated
+    marks as in ``labelled``.  The distinct words of a text are what is learnt from.
     """
-    marks = sampled(labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y")), F.col("k"), F.col("y"), sample).limit(4 * sample)
-    rows = docs.select(F.col(key).alias("k"), utf8(text).alias("raw")).where(F.octet_length("raw") <= longest)
-    got = rows.join(F.broadcast(marks), "k").select("y", "raw").limit(4 * sample).toArrow()  # marks: 4 * sample rows at most
-    got = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    y = np.array([label for label, _ in got], np.int64)
-    return train([raw for _, raw in got], y) if len(set(y.tolist())) == 2 else None
+    got = labelled(docs, labels, label, sample, features, key, text, longest)
+    return None if got is None else train(got[1], np.array(got[0], np.int64))
 
 
 def predict(docs: DataFrame, model: ToxicityModel | None, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``docs`` without its text, with ``score`` and ``predicted``.  Null and empty texts are scored as a text of nothing; without a model all score 0."""
-    rest = [c for c in docs.columns if c != text]
-    carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias("_text"))
+    """``docs`` without its text, with ``score`` and ``predicted`` (in place of columns of these names).
+
+    Null and empty texts are scored as a text of nothing; without a model all score 0.
+    """
+    rest = [c for c in docs.columns if c not in (text, "score", "predicted")]
+    carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias(spare(docs)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1]), "score double, predicted int"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
