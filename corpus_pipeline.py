@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontam, mixing, quality, sharding, simhash
-from granary.llm.common import Scratch, fold, read
+from granary.llm.common import Scratch, begun, cleanup, fold, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,7 +54,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        mark = begun(spark)
+        try:
+            docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        finally:  # the stage's own tables, whether it ended well or not
+            cleanup(spark, mark)
         if k:
             scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from granary.llm.common import map_batches, utf8
+from granary.llm.common import map_batches, spare, utf8
 
 WINDOW = 10
 #: Item words that one automaton holds at most; a larger benchmark is matched in several blocks of items.
@@ -173,9 +173,9 @@ MATCHES = "n_words long, n_hit long, items array<string>, spans array<struct<beg
 
 
 def find_matches(docs: DataFrame, items: list[tuple[str | None, list[bytes]]], text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` without its text, with ``n_words, n_hit, items, spans`` (spans of hit words) for one block of items."""
-    rest = [c for c in docs.columns if c != text]
-    carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias("_text"))
+    """``docs`` without its text, with ``n_words, n_hit, items, spans`` (spans of hit words; in place of columns of these names) for one block of items."""
+    rest = [c for c in docs.columns if c not in (text, "n_words", "n_hit", "items", "spans")]
+    carried = docs.select(*[docs[c] for c in rest], utf8(docs[text]).alias(spare(docs)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1])
     made: list[Automaton] = []
 
