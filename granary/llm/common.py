@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.storage import remove, shared_folder
@@ -57,6 +57,26 @@ def cleanup(spark: SparkSession, since: int = 0) -> None:
     del roots[since:]
 
 
+def places(df: DataFrame, by: list[str], order: list[str | Column], scratch: Scratch, step: str, name: str = "place") -> DataFrame:
+    """``df`` with the place of each row in its group, from 0, in the given order; rows of one group lie in a row in all orders that begin with ``by``.
+
+    All groups are sorted together over all partitions, so that a group of any size is spread: a row's place follows from its
+    place in its partition and the rows of its group in the partitions before.  Nulls are equal.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, *order]
+    spread = scratch.write(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()), f"{step}-spread")
+    spread = spread.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    held = spread.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), (before - F.col("_first")).alias("_before"))
+    held = scratch.write(held, f"{step}-held")
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return spread.join(held, same).select(*df.columns, (F.col("_at") + F.col("_before")).alias(name))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of texts small, unless the session asks for something else than the default."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

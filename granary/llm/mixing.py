@@ -13,15 +13,16 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch
+from granary.llm.common import Scratch, places
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Fractional documents that meet in a cell, on average.
 FAN_IN = 32
+#: Equal rows that are made from their count at a time.
+ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -131,7 +132,10 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, text: str = "text
     as whole copies allow, an empty table gives an empty result, and extra columns play no part.
     """
     done = _decide(docs, share, cap, text, key, source, seed)
-    spread = done.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1))).withColumn("copies", _part(F.col("given"), F.col("n_rows"), F.col("i")))
+    # Rows of a group in two steps, stretches and then rows, and the stretches of large groups are dealt anew in between.
+    stretches = done.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.lit(ROWS).cast("long"))))
+    dealt = stretches.where(F.col("n_rows") <= ROWS).unionByName(stretches.where(F.col("n_rows") > ROWS).repartition(F.xxhash64("key", "text_hash", "_first")))
+    spread = dealt.withColumn("i", F.explode(F.sequence("_first", F.least(F.col("_first") + ROWS, "n_rows") - 1))).withColumn("copies", _part(F.col("given"), F.col("n_rows"), F.col("i")))
     return spread.select(F.col("key").alias(key), F.col("source").alias(source), "text_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -140,8 +144,10 @@ def take(docs: DataFrame, share: float = 1.5, cap: float = 2.0, text: str = "tex
     given = _decide(docs, share, cap, text, key, source, seed).where("given > 0")
     given = given.select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("n_rows").alias("_rows"), F.col("given").alias("_given"))
     met = docs.join(given, docs[key].eqNullSafe(F.col("_key")) & docs[source].eqNullSafe(F.col("_source")) & (text_hash(docs[text]) == F.col("_hash")))
-    # Only rows that repeat another have to be numbered.
-    numbered = met.where("_rows > 1").withColumn("_i", F.row_number().over(Window.partitionBy("_key", "_source", "_hash").orderBy("_hash")) - 1)
-    counted = met.where("_rows = 1").withColumn("_i", F.lit(0)).unionByName(numbered)
+    # Only rows that repeat another have to be numbered; a number tells equal rows apart, so that many of them are spread.
+    scratch = Scratch(docs.sparkSession, "mixing-take")
+    again = met.where("_rows > 1").withColumn("_u", F.rand(seed))
+    numbered = places(again, ["_key", "_source", "_hash"], ["_u"], scratch, "repeats", "_i").drop("_u")
+    counted = met.where("_rows = 1").withColumn("_i", F.lit(0).cast("long")).unionByName(numbered)
     copies = _part(F.col("_given"), F.col("_rows"), F.col("_i")).cast("int")
     return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(c) for c in docs.columns])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch
+from granary.llm.common import Scratch, places
 
 #: Kinds of a schema's parameters, by the first word of the type that a value has as a variant.
 KINDS = {"string": ["STRING"], "integer": ["BIGINT", "LONG", "INT"], "number": ["BIGINT", "LONG", "INT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
@@ -140,16 +140,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         placed = calls.join(of, calls["conv_id"].eqNullSafe(of["c2"]) & (calls["call_id"] == of["i2"]), "left").select(calls["*"], F.coalesce("l2", F.lit(0)).alias("level"))
         placed = placed.withColumn("cyclic", F.lit(False)) if cyclic is None else placed.join(cyclic.distinct().withColumn("cyclic", F.lit(True)), placed["conv_id"].eqNullSafe(F.col("c4")) & (placed["call_id"] == F.col("i4")), "left").drop("c4", "i4").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 
-    # Steps by a range sort over all conversations, so that a conversation of any size is spread over
-    # partitions: a call's place in all less the place of its conversation's first call.
-    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conv_id", "cyclic", "level", "pos", "call_id", "name", "arguments"]
-    spread = scratch.write(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("mono", F.monotonically_increasing_id()), "spread")
-    spread = spread.withColumn("part", F.shiftright("mono", 33))
-    before = scratch.write(spread.groupBy("part").count().select("part", F.expr("sum(count) over (order by part) - count").alias("before")), "before")
-    numbered = scratch.write(spread.join(before, "part").withColumn("at", F.col("before") + F.col("mono").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "before", "mono"), "numbered")
-    firsts = scratch.write(numbered.groupBy("conv_id").agg(F.min("at").alias("first")).withColumnRenamed("conv_id", "c5"), "firsts")
-    stepped = numbered.join(firsts, numbered["conv_id"].eqNullSafe(firsts["c5"])).withColumn("step", F.col("at") - F.col("first")).drop("c5", "first", "at")
+    # Steps by a sort of all conversations together, so that a conversation of any size is spread over partitions.
+    stepped = places(placed, ["conv_id"], ["cyclic", "level", "pos", "call_id", "name", "arguments"], scratch, "steps", "step")
 
     # Schemas are one row for each tool: its name and its parameters.
     tools = schemas.groupBy("name").agg(F.collect_list(F.struct("field", "kind", "required")).alias("fields")).select(F.col("name").alias("tool"), F.array_sort("fields").alias("fields"))
@@ -186,5 +178,6 @@ SCHEMAS = [(role, field, kind, True) for role in ("system", "user") for field, k
 def report(messages: DataFrame) -> DataFrame:
     """The linked calls of ``conversations``, as ``turns_as_calls`` reads them."""
     calls, results = turns_as_calls(messages.select("conv_id", "turn", "role", "text"))
-    schemas = messages.sparkSession.createDataFrame(SCHEMAS, "name string, field string, kind string, required boolean")
+    values = ", ".join(f"('{name}', '{field}', '{kind}', {str(required).lower()})" for name, field, kind, required in SCHEMAS)
+    schemas = messages.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(name, field, kind, required)")
     return link_tool_calls(calls, results, schemas)

@@ -1,8 +1,10 @@
 """Operators against brute force, on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
 
 import hashlib
+import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +13,7 @@ import pytest
 import xxhash
 
 from granary.llm import decontam, hilbert, langid, mixing, quality, sharding, simhash, suffix, toolchat, toxicity
-from granary.llm.common import Scratch
+from granary.llm.common import Scratch, places
 from granary.llm.components import connected
 from granary.llm.sql import ORACLE
 
@@ -178,7 +180,7 @@ def test_decontamination(spark, docs, empty, block):
     texts = [r[1] for r in corpus() if r[1]]
     items = [(1, texts[15]), (2, texts[16][:80].upper()), (3, "w1 w2"), (4, None), (5, "... !"), (6, "one"), (7, " ".join(texts[17].split()[3:15])), (8, prose(random.Random(9), 50)), (10, texts[15])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = Counter((r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(docs, bench, block_words=block).collect())
+    got = Counter((r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(docs, bench, block_words=block, pass_words=4 * block).collect())
     assert got == Counter(brute_report(r[1], items) for r in corpus())
     assert decontam.report(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontam.report(docs, bench.limit(0)).collect())
@@ -608,7 +610,7 @@ def test_blocks_of_items_cut_as_one(spark):
     cut = lambda **kw: {r.doc_id: (r.text, r.spans) for r in decontam.decontaminate(docs, bench, **kw).collect()}
     one = cut()
     assert one[0][0] == "Lead , w20, w21, w22, w23, w24, , w35, w36, w37, w38, w39 tail" and one[1] == (None, "b")
-    assert cut(block_words=15) == one
+    assert cut(block_words=15) == one and cut(block_words=15, pass_words=15) == one
     assert cut(max_words=19, block_words=15) == cut(max_words=19) and cut(max_words=19)[3][0] == "z " * 80
     assert cut(max_share=0.19, block_words=15) == cut(max_share=0.19) and cut(max_share=0.21, block_words=15)[3][0] == rows[3][1]
 
@@ -647,3 +649,45 @@ def test_copies_do_not_crowd_out_languages(spark, monkeypatch):
         rows = [(i, f"copied words {k}", "aa") for i in range(3000)] + [(3000 + i, f"some other text {i}", "bb") for i in range(400)]
         langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
     assert seen == [Counter({0: 100, 1: 100})] * 3
+
+
+def test_matches_take_the_place_of_columns(spark):
+    docs = spark.createDataFrame([("a b c d e f g h i j k", 9, "x", [1], "y", 2)], "text string, n_words int, items string, spans array<int>, _text string, n_hit int")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    row = decontam.find_matches(docs, next(decontam.passes_of(bench))).first()
+    assert row.n_words == 11 and row.n_hit == 10 and row.items == ["1"] and row._text == "y"
+    kept = decontam.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and tuple(kept.first()) == (" k", 9, "x", [1], "y", 2)
+
+
+def test_automaton_of_one_repeated_word_is_linear():
+    start = time.perf_counter()
+    machine = decontam.Automaton([("a", [b"x"] * 60_000)])
+    assert machine.match([b"x"] * 30)[0] == [(0, 30)] and time.perf_counter() - start < 20
+    assert len(pickle.dumps(machine)) < 60_000 * 200
+
+
+def test_numbers_in_groups(spark, tmp_path):
+    """Places by range sort, with a group that holds most rows, null keys and ties."""
+    rng = random.Random(14)
+    rows = [(rng.choice(["a", "a", "a", "a", "b", None]), rng.randrange(50), i) for i in range(3000)]
+    out = places(spark.createDataFrame(rows, "g string, x int, i int"), ["g"], ["x"], Scratch(spark, "test"), "numbers").collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.g].append((r.place, r.x))
+    assert len(out) == 3000
+    for held in by.values():
+        held.sort()
+        assert [p for p, _ in held] == list(range(len(held))) and [x for _, x in held] == sorted(x for _, x in held)
+
+
+def test_equal_rows_share_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS", 7)
+    rows = [(1, "one two three", "a", i) for i in range(60)] + [(i, f"w{i} x y z", "b", 0) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    out = mixing.mix(docs).collect()
+    assert Counter(r.doc_id for r in out)[1] == 60 and len(out) == len(rows)
+    mine = [r.copies for r in out if r.doc_id == 1]
+    assert max(mine) - min(mine) <= 1 and abs(sum(mine) * 3 - out[0].target * (out[0].source == "a")) <= 3 or out[0].source != "a"
+    taken = Counter((r.doc_id, r.other) for r in mixing.take(docs).collect() if r.doc_id == 1)
+    assert sum(taken.values()) == sum(mine) and max(taken.values()) <= 2
