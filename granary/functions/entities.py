@@ -67,6 +67,28 @@ def extract(questions: DataFrame, table: list[tuple[str, str]], terms: list[str]
     ).drop("_spans", "_nfc")
 
 
+ENTITIES = "struct<companies:array<string>,company_count:int,period:array<string>,metrics:array<string>,report_name:string,explicit_correction:boolean,company_spans:array<struct<begin:int,end:int,corp:string>>>"
+
+
+def with_model(extracted: DataFrame, model: Column) -> DataFrame:
+    """``entities`` by rule, and where the rules find no company, period or metric, what a model says instead.
+
+    ``model`` is a column of a model's answers as JSON with the fields of ``entities``; what isn't JSON says nothing.  It alone without
+    rules: pass rows whose ``entities`` are null.
+    """
+    said = F.from_json(model, ENTITIES)
+    has = lambda c: F.size(F.coalesce(c, F.array())) > 0
+    held = lambda name: F.when(has(F.col("entities")[name]), F.col("entities")[name]).otherwise(F.coalesce(said[name], F.array().cast("array<string>")))
+    companies = held("companies")
+    return extracted.withColumn(
+        "entities",
+        F.struct(
+            companies.alias("companies"), F.size(companies).alias("company_count"), held("period").alias("period"), held("metrics").alias("metrics"), F.coalesce(F.col("entities.report_name"), said["report_name"]).alias("report_name"),
+            F.coalesce(F.col("entities.explicit_correction"), said["explicit_correction"], F.lit(False)).alias("explicit_correction"), F.coalesce(F.col("entities.company_spans"), F.array().cast(SPANS)).alias("company_spans"),
+        ),
+    )
+
+
 def normalized(text: Column, spans: Column) -> Column:
     """The text with companies as ``[COMPANY]``, or numbered in order of first mention if there are several mentions."""
     order = F.array_distinct(F.transform(spans, lambda s: s["corp"]))

@@ -39,6 +39,24 @@ def cascade(first: DataFrame, second: Column | None = None, least_margin: float
     return kept.unionByName(other)
 
 
+#: The label of a model that can't tell.
+UNCLEAR = "unclear"
+ROUTE_PROMPT = "Classify the question by calling classify_route. If it fits several routes or none, answer with route=unclear."
+
+
+def route_tool(known: tuple[str, ...] = ROUTES) -> dict:
+    """The tool that a model has to call with its answer."""
+    route = {"type": "string", "enum": [*known, UNCLEAR]}
+    return {"name": "classify_route", "description": "Names the route of a question.", "parameters": {"type": "object", "properties": {"route": route}, "required": ["route"]}}
+
+
+def model_route(client, question: str, known: tuple[str, ...] = ROUTES) -> str | None:
+    """A chat model's route for a question; None if it calls nothing, is unclear, or names what isn't known."""
+    reply = client.chat([{"role": "system", "content": ROUTE_PROMPT}, {"role": "user", "content": question}], [route_tool(known)])
+    named = [call["arguments"].get("route") for call in reply.get("calls") or []]
+    return named[0] if named and named[0] in known else None
+
+
 def parse_label(answer: Column, known: tuple[str, ...] = ROUTES) -> Column:
     """A model's answer as a route: ``unclear`` and unknown labels are null."""
     return F.when(F.trim(answer).isin(*known), F.trim(answer))

@@ -36,6 +36,13 @@ def terms(spark: SparkSession, path: str) -> DataFrame:
     return lines.where((F.trim("line") != "") & ~F.col("line").startswith("#")).select("position", F.trim("line").alias("term"))
 
 
+def utterances(spark: SparkSession, path: str) -> DataFrame:
+    """``utterance_id, route, text`` of example utterances: lines of a route and a text, tab-separated; blank ones and comments are skipped."""
+    parts = terms(spark, path).select("position", F.split("term", "\t", 2).alias("p")).where(F.size("p") == 2)
+    numbered = parts.select(F.col("p")[0].alias("route"), F.trim(F.col("p")[1]).alias("text"), "position")
+    return numbered.select(F.concat_ws("-", "route", F.expr("row_number() over (partition by route order by position) - 1")).alias("utterance_id"), "route", "text")
+
+
 def user_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``word, tag, score`` from tab-separated lines; tag NNG and score 0 where absent."""
     parts = terms(spark, path).select("position", F.split("term", "\t").alias("p"))
@@ -91,10 +98,9 @@ SIBLINGS = 20
 
 def unresolved(paths: DataFrame, listing: DataFrame, key: str = "path", most: int = SIBLINGS) -> DataFrame:
     """Why paths aren't found: ``path, failed_at`` (number of the first part that nothing listed has), ``failed_part`` and ``siblings``, the first ``most`` names that are there instead."""
-    cut_path = lambda c: F.split(nfc(c), "/")
-    begins = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i - 1), "/").alias("above"), F.element_at(parts, i).alias("part")))
-    there = listing.select(F.explode(begins(cut_path(key))).alias("x")).select("x.*").distinct()
-    asked = paths.select(key, F.explode(begins(cut_path(key))).alias("x")).select(key, "x.*")
+    begins = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice("_parts", 1, i - 1), "/").alias("above"), F.element_at("_parts", i).alias("part")))
+    parts = lambda df: df.select(key, F.split(nfc(key), "/").alias("_parts")).select(key, F.explode(begins).alias("x")).select(key, "x.*")
+    there, asked = parts(listing).drop(key).distinct(), parts(paths)
     missing = asked.join(there, ["depth", "above", "part"], "left_anti").groupBy(key).agg(F.min(F.struct("depth", "above", "part")).alias("x")).select(key, "x.*")
     names = there.withColumn("_n", F.expr("row_number() over (partition by depth, above order by part)")).where(F.col("_n") <= most)
     siblings = names.groupBy("depth", "above").agg(F.array_sort(F.collect_list("part")).alias("siblings"))

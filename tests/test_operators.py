@@ -195,7 +195,7 @@ def test_ranking_metrics(spark):
     out = {r.query_id: r for r in evaluation.per_query(ranked, gold).collect()}
     assert abs(out["q"].recall - 2 / 3) < 1e-9 and out["q"].rr == 1.0 and out["q"].ndcg <= 1 and out["q"].hit
     assert out["e"].recall == out["e"].ndcg == 0 and out["n"].rr == 0 and not out["n"].hit
-    values = spark.createDataFrame([(float(i),) for i in range(1, 31)], "v double").agg(evaluation.p95(F.collect_list("v")).alias("x"))
+    values = evaluation.p95(spark.createDataFrame([("g", float(i)) for i in range(1, 31)], "g string, v double"), "g", "v").select(F.col("v").alias("x"))
     assert values.first().x == 28.0
 
 
@@ -207,6 +207,36 @@ def test_classification(spark):
     assert abs(amb.appropriate_rate - 2 / 3) < 1e-9 and abs(amb.forced_wrong_rate - 1 / 3) < 1e-9
 
 
+def test_many_queries_meet_in_blocks(spark):
+    rng = random.Random(2)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)] + [(900, [0.0] * 6), (901, [1.0]), (902, None)]
+    df = spark.createDataFrame(vectors, "chunk_id long, vec array<double>")
+    asked = df.where("chunk_id < 100").withColumnRenamed("chunk_id", "query_id")
+    key = lambda r: (r.query_id, r["rank"], r.chunk_id, round(r.score, 9))
+    one = sorted(map(key, retrieval.dense_top(df, asked, 4).collect()))
+    assert sorted(map(key, retrieval.dense_top(df, asked, 4, block=30).collect())) == one and len(one) == 400
+    assert retrieval.dense_top(df, asked.limit(0), 4).count() == 0
+
+
+def test_ordered_values(spark):
+    rng = random.Random(5)
+    rows = [("a" if rng.random() < 0.8 else "b", rng.randrange(100)) for _ in range(2000)] + [("c", 7), ("d", None)]
+    out = {r.g: (r.n, r.v) for r in evaluation.p95(spark.createDataFrame(rows, "g string, v int").repartition(5), "g", "v").collect()}
+    for g in "abc":
+        held = sorted(v for x, v in rows if x == g)
+        assert out[g] == (len(held), held[max(0, int(len(held) * 0.95) - 1)])
+    assert "d" not in out
+
+
+def test_stored_index_gives_the_same_scores(spark, chunk_rows, tmp_path):
+    asked = spark.createDataFrame([("q", "매출액 배당"), ("r", "none")], "query_id string, text string")
+    plain = retrieval.bm25_scores(retrieval.build_bm25(chunk_rows), asked).collect()
+    stored = retrieval.build_bm25(chunk_rows, path=str(tmp_path / "index"))
+    scores = retrieval.bm25_scores(stored, asked)
+    assert sorted((r.chunk_id, round(r.score, 12)) for r in plain) == sorted((r.chunk_id, round(r.score, 12)) for r in scores.collect()) and plain
+    assert "In(term" in scores._jdf.queryExecution().toString()
+
+
 def test_routing(spark):
     examples = spark.createDataFrame([("u1", "x", [1.0, 0.0]), ("u2", "x", [0.9, 0.1]), ("u3", "y", [0.0, 1.0])], "utterance_id string, route string, vec array<float>")
     q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.7, 0.7])], "query_id string, vec array<float>")

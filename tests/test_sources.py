@@ -1,14 +1,17 @@
 """Sources, parsers, sinks, streams and the whole plan, on small files."""
 
+import http.server
 import json
 import random
+import threading
 import unicodedata
 
 from pyspark.sql import functions as F
 
+from granary.functions import entities
+from granary.operators import routing, tools
 from granary.plans import ask, corpus
-from granary.operators import tools
-from granary.sources import files, parsers, sinks
+from granary.sources import chat, files, parsers, sinks
 from granary.streaming import stream
 
 XML = """<?xml version="1.0" encoding="utf-8"?><!-- note --><DOCUMENT><DOCUMENT-NAME>사업보고서</DOCUMENT-NAME><BODY><P>loose</P><LIBRARY>
@@ -140,17 +143,90 @@ def test_sinks(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     schema = "chunk_id string, filing_date string, text string"
-    for i, batch in enumerate([[("a", "20240101", "old"), ("b", "20240101", "b")], [("a", "20240201", "new")]]):
+    for batch in [[("a", "20240101", "old"), ("b", "20240101", "b")], [("a", "20240201", "new")]]:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = stream.upsert(stream.file_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination(60)
-        got = {r.chunk_id: r.text for r in spark.read.parquet(str(tmp_path / f"out/version={i}")).collect()}
+        got = {r.chunk_id: r.text for r in stream.current(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": "new", "b": "b"}
     events = spark.createDataFrame([("2024-01-01 00:05:00", "x", 1, 2.0), ("2024-01-01 00:55:00", "x", 1, 3.0), ("2024-01-01 01:05:00", "x", 1, 4.0)], "t string, event_type string, user_id int, value double").withColumn("ts", F.to_timestamp("t"))
     assert sorted(r.total for r in stream.tumbling(events).collect()) == [4.0, 5.0]
     assert sorted(r.n for r in stream.sessions(events).collect()) == [1, 2]
 
 
+def test_late_rows_do_not_win(spark, tmp_path):
+    schema = "chunk_id string, filing_date string, text string"
+    batches = [[("a", "20240201", "new"), ("b", "20240101", "b")], [("a", "20240101", "late"), ("c", None, "c")], [("b", "20240101", "same date, later batch"), ("c", "20240101", "dated")]]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.upsert(stream.file_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp"), buckets=4).awaitTermination(60)
+    got = {r.chunk_id: r.text for r in stream.current(spark, str(tmp_path / "out")).collect()}
+    assert got == {"a": "new", "b": "same date, later batch", "c": "dated"}
+    assert all(len(v) <= 2 for v in stream._versions(spark, str(tmp_path / "out")).values())
+
+
+def test_files_meet_by_key(spark, tmp_path):
+    write_corpus(tmp_path)
+    raw, manifest = files.raw_files(spark, str(tmp_path)), files.manifest(spark, str(tmp_path / "manifest.jsonl"))
+    met = files.main_files(raw, manifest)
+    assert met.count() == 4 and met.where("is_main").count() == 4
+    plan = met._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    asked = spark.createDataFrame([("raw/periodic/회사/x",), ("raw/none/a",), ("raw/periodic",)], "path string")
+    listed = spark.createDataFrame([(unicodedata.normalize("NFD", "raw/periodic/회사/y"),), ("raw/major/z",)], "path string")
+    why = {r.path: (r.failed_at, r.failed_part, r.siblings) for r in files.unresolved(asked, listed).collect()}
+    assert why == {"raw/periodic/회사/x": (3, "x", ["y"]), "raw/none/a": (1, "none", ["major", "periodic"])}
+
+
+def test_http_chat():
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            message = {"role": "assistant", "content": "", "toolCalls": [{"id": "c1", "type": "function", "function": {"name": "f", "arguments": {"a": 1}}}]} if len(seen) == 2 else {"role": "assistant", "content": "답"}
+            status = "50000" if len(seen) == 1 else "20000"
+            body = json.dumps({"status": {"code": status}, "result": {"message": message}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = chat.HttpChat(f"http://127.0.0.1:{server.server_port}/", "k", max_tokens=5, thinking={"effort": "none"})
+    retrying = tools.Retrying(client, sleep=lambda s: None)
+    assert retrying.chat([{"role": "user", "content": "q"}], [{"name": "f"}]) == {"text": None, "calls": [{"id": "c1", "name": "f", "arguments": {"a": 1}}]}
+    history = [{"role": "assistant", "content": "", "calls": [{"id": "c1", "name": "f", "arguments": {"a": 1}}]}, {"role": "tool", "tool_call_id": "c1", "name": "f", "content": "{}"}]
+    assert client.chat(history, []) == {"text": "답"}
+    server.shutdown()
+    assert seen[0] == seen[1] and seen[0][0] == "Bearer k" and "maxTokens" not in seen[0][1] and seen[0][1]["thinking"] == {"effort": "none"}
+    assert seen[2][1]["maxTokens"] == 5 and seen[2][1]["messages"][0]["toolCalls"][0]["function"]["name"] == "f" and seen[2][1]["messages"][1]["toolCallId"] == "c1"
+
+
+def test_model_router():
+    class Client:
+        def __init__(self, reply):
+            self.reply = reply
+
+        def chat(self, messages, schemas):
+            assert schemas[0]["parameters"]["properties"]["route"]["enum"][-1] == "unclear" and messages[1]["content"] == "q"
+            return self.reply
+
+    call = lambda route: {"calls": [{"id": "1", "name": "classify_route", "arguments": {"route": route}}]}
+    answers = [routing.model_route(Client(r), "q") for r in (call("calculation"), call("unclear"), call("nonsense"), {"text": "hm"})]
+    assert answers == ["calculation", None, None, None]
+
+
+def test_entities_with_a_model(spark):
+    rows = spark.createDataFrame([("현대차 매출액", '{"companies": ["x"], "metrics": ["영업이익"], "explicit_correction": true}'), ("그 회사", '{"companies": ["다른회사"], "period": ["2024"]}'), ("그 회사", "no json"), ("그 회사", None)], "query string, said string")
+    out = [r.entities for r in entities.with_model(entities.extract(rows, [("현대차", "현대자동차")], ["매출액"]), F.col("said")).collect()]
+    assert out[0].companies == ["현대자동차"] and out[0].metrics == ["매출액"] and out[0].explicit_correction is False
+    assert out[1].companies == ["다른회사"] and out[1].company_count == 1 and out[1].period == ["2024"] and out[2].companies == [] == out[3].companies
+
+
 def test_ask(spark):
     class Client:
         def chat(self, messages, schemas):
