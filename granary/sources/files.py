@@ -32,7 +32,7 @@ def universe(spark: SparkSession, path: str) -> DataFrame:
 
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """``position, term``: lines but for blank ones and comments, in order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("position", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("position", "line"))
     return lines.where((F.trim("line") != "") & ~F.col("line").startswith("#")).select("position", F.trim("line").alias("term"))
 
 

@@ -120,6 +120,7 @@ def test_small_sources(spark, tmp_path):
     assert row.corp_code == "00126380" and row.listed_name == "현대차"
     (tmp_path / "t.txt").write_text("# c\n매출액\n\n매출\n", encoding="utf-8")
     assert [r.term for r in files.terms(spark, str(tmp_path / "t.txt")).orderBy("position").collect()] == ["매출액", "매출"]
+    assert [r.position for r in files.terms(spark, str(tmp_path / "t.txt")).orderBy("position").collect()] == [1, 3]
     (tmp_path / "d.txt").write_text("영업이익\tNNP\t1.5\n배당\n", encoding="utf-8")
     assert [tuple(r) for r in files.user_dictionary(spark, str(tmp_path / "d.txt")).collect()] == [("영업이익", "NNP", 1.5), ("배당", "NNG", 0.0)]
     (tmp_path / "g.json").write_text('[{"id": 1, "gold_report_ids": ["a"]}]')
