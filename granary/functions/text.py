@@ -35,11 +35,22 @@ def whitespace_tokens(text: Column | str) -> Column:
 
 
 def char_ngrams(text: Column | str, n: int) -> Column:
-    """All n-grams of the text without blanks; a shorter text is one token, an empty one none."""
+    """All n-grams of the text without blanks; a shorter text is one token, an empty one none.
+
+    The text's characters are an array whose shifted slices are joined, so the work grows with the text's length.
+    """
     bare = F.regexp_replace(F.coalesce(col(text), F.lit("")), BLANKS, "")
-    size = F.length(bare)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(bare, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(grams)
+
+    def grams(chars: Column) -> Column:
+        most = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+        out = F.slice(chars, 1, most)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(chars, k + 1, most), lambda a, b: F.concat(a, b))
+        return F.when(most == 0, F.array(F.array_join(chars, ""))).otherwise(out)
+
+    # The characters are an element of an array, so that they are made once for all slices.
+    whole = F.transform(F.array(F.split(bare, "")), grams)[0]
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(whole)
 
 
 def tokenizer(name: str):
