@@ -27,8 +27,8 @@ BAG = 10
 SAMPLE, SAMPLE_BYTES = 3000, 50_000
 #: Passes over the sample, and steps at least (a small sample is passed more often); the share of them with whole texts as bags, and those bags' scale.
 EPOCHS, STEPS, WHOLE, SCALE = 12, 40_000, 0.25, 64.0
-#: Share of the worst words in training that are masked at a place.
-MASKED = 0.5
+#: Share of the worst words in training that are masked at a place, and words whose n-grams are made at a time.
+MASKED, STRETCH = 0.5, 10_000
 
 
 @dataclass
@@ -60,10 +60,44 @@ def features(raw: bytes) -> bytes:
     return b" ".join(sorted(set(raw.lower().split())))
 
 
+class Words:
+    """The words of all texts and their n-grams, each word once; texts are numbers of words."""
+
+    def __init__(self, texts: list[bytes]):
+        known: dict[bytes, int] = {}
+        self.texts = [np.array([known.setdefault(w, len(known)) for w in features(t).split()], np.int32) for t in texts]
+        parts, names = [], list(known)
+        for at in range(0, len(names), STRETCH):
+            grams, word, place, size = word_grams(b" ".join(names[at : at + STRETCH]), BITS)
+            count = np.bincount(word)
+            begin = np.repeat(place[np.cumsum(count) - count], count)  # places count from a word's first n-gram on
+            parts.append((grams.astype(np.int32), (place - begin).astype(np.int32), size.astype(np.int8), count.astype(np.int32)))
+        self.grams, self.place, self.size, self.count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 4
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+
+    def bag(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of some words in a row, and where each word's begin."""
+        count = self.count[words]
+        begin = np.cumsum(count) - count
+        return self.grams[np.repeat(self.first[words] - begin, count) + np.arange(count.sum())], begin
+
+    def worst(self, words: np.ndarray, table: np.ndarray) -> int:
+        """The word of the greatest mean."""
+        grams, begin = self.bag(words)
+        return int(words[(np.add.reduceat(table[grams], begin) / np.maximum(self.count[words], BAG)).argmax()])
+
+    def masked(self, word: int, rng: np.random.Generator) -> np.ndarray:
+        """A word's n-grams without those over a random letter."""
+        mine = slice(self.first[word], self.first[word + 1])
+        begin, end = self.place[mine], self.place[mine] + self.size[mine]
+        hole = rng.integers(1, max(2, end.max() - 1))
+        return self.grams[mine][(begin > hole) | (end <= hole)]
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, seed: int = 1) -> ToxicityModel:
     """Fits on four fifths of the texts, calibrates on the fifth."""
     rng = np.random.default_rng(seed)
-    bags = [word_grams(t, BITS) for t in texts]
+    words = Words(texts)
     order = rng.permutation(len(texts))
     fit, held = order[len(texts) // 5 :], order[: len(texts) // 5]
     embed = rng.normal(0, 0.02, (1 << BITS, WIDTH)).astype(np.float32)
@@ -76,18 +110,16 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: fl
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(fit):
-            grams, word, place, size = bags[i]
-            if not len(grams):
+            mine = words.texts[i]
+            if not len(mine):
                 continue
-            scale, bag, full = SCALE, grams, len(grams)
-            if epoch >= WHOLE * epochs:
-                at = _worst(grams, word, table)[1]
-                mine = slice(*np.searchsorted(word, (at, at + 1)))
-                scale, bag, full = 1.0, grams[mine], mine.stop - mine.start
-                begin, end = place[mine], place[mine] + size[mine]
-                if rng.random() < MASKED and end.max() - begin.min() > 2:
-                    hole = rng.integers(begin.min() + 1, end.max() - 1)
-                    bag = bag[(begin > hole) | (end <= hole)]
+            if epoch < WHOLE * epochs:
+                scale, bag = SCALE, words.bag(mine)[0]
+                full = len(bag)
+            else:
+                at = words.worst(mine, table)
+                scale, full = 1.0, int(words.count[at])
+                bag = words.masked(at, rng) if rng.random() < MASKED else words.grams[words.first[at] : words.first[at + 1]]
             rows, times = np.unique(bag, return_counts=True)
             share = (scale * times / max(full, BAG)).astype(np.float32)
             hidden = share @ embed[rows]
