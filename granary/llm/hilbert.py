@@ -27,9 +27,9 @@ from granary.llm.common import Scratch, map_batches
 
 ORDERINGS, DIMENSIONS, GRID = 48, 20, 2
 #: Ranges to either side of a query's own that it meets; rows of a range at least, and ranges of an ordering at most.
-REACH, LEAST, MOST_RANGES = 2, 16, 4096
+REACH, LEAST, MOST_RANGES = 2, 4, 4096
 #: Vectors on which projections and the bounds of ranges are fitted; queries on which the windows are, and the share of their nearest rows that windows have to hold.
-SAMPLE, TRIED, RECALL = 8192, 128, 0.95
+SAMPLE, TRIED, RECALL = 8192, 128, 0.94
 #: Rows and queries that a cell holds.
 CELL = 4096
 #: Decimal places to which scores are compared: beyond them they differ by rounding only, and the smaller id comes first.
@@ -170,19 +170,19 @@ class Cells:
         return ((((o * n + r) * int(self.rows.max()) + row_part) * int(self.queries.max()) + query_part) << 1) | int(is_row)
 
 
-def _encode(x: np.ndarray) -> list[bytes]:
-    """Unit vectors in bytes, each with its step and the length of what rounding lost."""
+def _encode(x: np.ndarray, least: np.ndarray) -> list[bytes]:
+    """Unit vectors in bytes, each with its step, the length of what rounding lost, and the score that what it meets has to have at least."""
     step = np.abs(x).max(axis=1, keepdims=True) / 127
     codes = np.rint(x / step)
     lost = np.linalg.norm(x - codes * step, axis=1)
-    head = np.stack((step[:, 0], lost), axis=1).astype(np.float64)
+    head = np.stack((step[:, 0], lost, least), axis=1).astype(np.float64)
     return [h.tobytes() + c.tobytes() for h, c in zip(head, codes.astype(np.int8), strict=True)]
 
 
-def _decode(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    head = np.stack([np.frombuffer(v, np.float64, 2) for v in raw])
-    codes = np.stack([np.frombuffer(v, np.int8, offset=16) for v in raw]).astype(np.float32)
-    return codes * head[:, :1].astype(np.float32), head[:, 1]
+def _decode(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    head = np.stack([np.frombuffer(v, np.float64, 3) for v in raw])
+    codes = np.stack([np.frombuffer(v, np.int8, offset=24) for v in raw]).astype(np.float32)
+    return codes * head[:, :1].astype(np.float32), head[:, 1], head[:, 2]
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
@@ -210,15 +210,23 @@ def _crowds(vectors: DataFrame, curves: Curves, reach: int, cell: int) -> np.nda
     return out
 
 
-def _place(vectors: DataFrame, curves: Curves, cells: Cells, is_row: bool, reach: int) -> DataFrame:
-    """``id, vec`` in each ordering: a row in its own range and one of its parts, for each part of the queries; a query near each range, for each part of the rows."""
+def _place(vectors: DataFrame, curves: Curves, cells: Cells, reach: int, sample: np.ndarray | None = None, k: int = 0) -> DataFrame:
+    """``id, vec`` in each ordering: a row in its own range and one of its parts, for each part of the queries; a query near each range, for each part of the rows.
+
+    Queries are those for which a ``sample`` of rows is given: the score of the ``k``-th nearest of these is one that each of the
+    ``k`` nearest rows has.
+    """
+    is_row = sample is None
     n = cells.rows.shape[1]
     own_parts, other_parts = (cells.rows, cells.queries) if is_row else (cells.queries, cells.rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy()
         x = unit(unpacked(batch.column(1).to_pylist()))
-        codes, spread = pa.array(_encode(x), pa.binary()), _spread(ids).astype(np.int64)
+        least = np.full(len(x), -2.0)
+        if not is_row and len(sample) >= k:
+            least = np.partition(x @ sample.T, len(sample) - k, axis=1)[:, len(sample) - k] - 1e-9
+        codes, spread = pa.array(_encode(x, least), pa.binary()), _spread(ids).astype(np.int64)
         places, ats = [], []
         for o in range(len(curves.axes)):
             own = curves.ranges(x, o)
@@ -244,13 +252,13 @@ def _candidates(placed: DataFrame, k: int) -> DataFrame:
     def solve(queries: list, rows: list) -> pa.RecordBatch | None:
         if not queries or not rows:
             return None
-        q, q_lost = _decode([x[1] for x in queries])
-        d, d_lost = _decode([x[1] for x in rows])
+        q, q_lost, least = _decode([x[1] for x in queries])
+        d, d_lost, _ = _decode([x[1] for x in rows])
         near = (q @ d.T).astype(np.float64)
         open_ = q_lost[:, None] + d_lost[None, :] * (1 + q_lost[:, None]) + 1e-5  # how far off a product of codes can be
         n = min(k, len(rows))
         sure = np.partition(near - open_, len(rows) - n, axis=1)[:, len(rows) - n]  # n rows are at least as near
-        a, b = np.nonzero(near + open_ >= sure[:, None])
+        a, b = np.nonzero(near + open_ >= np.maximum(sure, least)[:, None])
         qid, vid = np.array([x[0] for x in queries]), np.array([x[0] for x in rows])
         return pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(vid[b])], names=["q", "v"])
 
@@ -309,7 +317,8 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, o
         return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
 
     got = distinct.where(F.pmod(F.xxhash64("dir"), F.lit(1 << 30)) / float(1 << 30) < min(1.0, sample / n)).select("dir", "vec").orderBy("dir").limit(2 * sample).collect() or distinct.select("vec").limit(sample).collect()
-    curves = Curves.fit(unit(unpacked([r.vec for r in got])), orderings)
+    known = unit(unpacked([r.vec for r in got]))
+    curves = Curves.fit(known, orderings)
     few = queries.orderBy(F.xxhash64("dir"), "dir").limit(tried).select("id", "vec").collect()
     true = _exact(distinct, few, k).withColumn("n", F.expr("row_number() over (partition by q order by score desc, id)")).where(F.col("n") <= k).collect()  # tried * k at most
     half = window(curves, [(unit(unpacked([few[r.q].vec]))[0], unit(unpacked([r.vec]))[0]) for r in true], recall)
@@ -317,7 +326,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, o
     curves.cut(ranges)
 
     cells = Cells(_crowds(distinct, curves, 0, cell), _crowds(queries, curves, reach, cell))
-    placed = _place(distinct, curves, cells, True, reach).unionByName(_place(queries, curves, cells, False, reach))
+    placed = _place(distinct, curves, cells, reach).unionByName(_place(queries, curves, cells, reach, known, k + 1))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.withColumn("cell", F.shiftright("place", 1)).repartition(parts, "cell").drop("cell").sortWithinPartitions("place")
     found = scratch.write(_candidates(dealt, k + 1).distinct(), "found")

@@ -80,6 +80,7 @@ def test_windows_are_narrow_where_vectors_have_structure():
 def test_codes_bound_what_they_lose():
     rng = np.random.default_rng(8)
     a, b = (hilbert.unit(rng.normal(size=(500, 64))) for _ in range(2))
-    (x, x_lost), (y, y_lost) = hilbert._decode(hilbert._encode(a)), hilbert._decode(hilbert._encode(b))
+    (x, x_lost, least), (y, y_lost, _) = (hilbert._decode(hilbert._encode(v, np.arange(500.0))) for v in (a, b))
+    assert least.tolist() == list(range(500))
     bound = x_lost[:, None] + y_lost[None, :] * (1 + x_lost[:, None]) + 1e-5
     assert (np.abs(x @ y.T - a @ b.T) <= bound).all()
