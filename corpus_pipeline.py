@@ -1,7 +1,12 @@
 """A corpus pipeline: quality, near-duplicates, decontamination, mixing, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next stage's ``docs``.  All stages but the last return the columns of documents.
+read again as the next stage's ``docs``.  All stages but the last return the columns of documents, extra ones
+included; the last adds ``shard``, in place of a column of that name.
+
+Null and empty texts are texts of nothing: the classifier scores them as such, they are one group of near-duplicates, hold no test
+items, are mixed without adding words, and share a shard.  Null ids are ids like any other, but aren't learnt from; a null source is
+a source.  Of rows equal in id and text one stays.  Texts of any length are read whole.  Empty tables pass all stages.
 """
 
 from __future__ import annotations
@@ -12,35 +17,31 @@ from pyspark.sql import functions as F
 from granary.llm import decontam, mixing, quality, sharding, simhash
 from granary.llm.common import Scratch, begun, cleanup, fold, read
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    docs = docs.select(COLUMNS)
     labels = read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     return quality.keep(docs, quality.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, at a five-word Jaccard similarity of 0.8 or more, stays."""
-    return simhash.deduplicate(docs.select(COLUMNS))
+    return simhash.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of test items are cut out of the texts that hold them; ``n_chars`` follows."""
-    clean = decontam.decontaminate(docs.select(COLUMNS), read(spark, sf_dir, "benchmark"))
-    return clean.withColumn("n_chars", F.length("text").cast("long"))
+    clean = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.take(docs.select(COLUMNS))
+    return mixing.take(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard."""
-    return sharding.shard_of(docs.select(COLUMNS))
+    return sharding.shard_of(docs)
 
 
 STAGES = [("quality", filter_quality), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_benchmark), ("mixing", mix_sources), ("sharding", shard)]

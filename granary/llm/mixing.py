@@ -143,11 +143,15 @@ def take(docs: DataFrame, share: float = 1.5, cap: float = 2.0, text: str = "tex
     """The mix itself: each row of ``docs``, all columns, as often as ``mix`` takes it.  Texts are moved once, to meet their copies."""
     given = _decide(docs, share, cap, text, key, source, seed).where("given > 0")
     given = given.select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("n_rows").alias("_rows"), F.col("given").alias("_given"))
-    met = docs.join(given, docs[key].eqNullSafe(F.col("_key")) & docs[source].eqNullSafe(F.col("_source")) & (text_hash(docs[text]) == F.col("_hash")))
-    # Only rows that repeat another have to be numbered; a number tells equal rows apart, so that many of them are spread.
     scratch = Scratch(docs.sparkSession, "mixing-take")
-    again = met.where("_rows > 1").withColumn("_u", F.rand(seed))
-    numbered = places(again, ["_key", "_source", "_hash"], ["_u"], scratch, "repeats", "_i").drop("_u")
-    counted = met.where("_rows = 1").withColumn("_i", F.lit(0).cast("long")).unionByName(numbered)
+    given = scratch.write(given, "given")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name of a column that is added below
+    plain = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    meet = lambda some: plain.join(some, plain[names[key]].eqNullSafe(F.col("_key")) & plain[names[source]].eqNullSafe(F.col("_source")) & (text_hash(plain[names[text]]) == F.col("_hash")))
+    counted = meet(given.where("_rows = 1")).withColumn("_i", F.lit(0).cast("long"))
+    several = given.where("_rows > 1")
+    if not several.isEmpty():  # only rows that repeat another have to be numbered; a random number tells equal rows apart, so that many of them are spread
+        numbered = places(meet(several).withColumn("_u", F.rand(seed)), ["_key", "_source", "_hash"], ["_u"], scratch, "repeats", "_i").drop("_u")
+        counted = counted.unionByName(numbered)
     copies = _part(F.col("_given"), F.col("_rows"), F.col("_i")).cast("int")
-    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(c) for c in docs.columns])
+    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(n).alias(c) for c, n in names.items()])

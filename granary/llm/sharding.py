@@ -198,7 +198,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", key:
 
 
 def shard_of(docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the ``shard`` of each row, as a stage of a pipeline needs it; texts are not shuffled.
+    """All columns of ``docs`` with the ``shard`` of each row (in place of a column of that name), as a stage of a pipeline needs it; texts are not shuffled.
 
     Nulls, repeats and empty tables: as in ``shard_documents``.
     """
