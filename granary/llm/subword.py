@@ -33,11 +33,11 @@ def buckets(raw: bytes, bits: int) -> list[np.ndarray]:
     return out
 
 
-def word_grams(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each n-gram within a word and its fences, by word: its bucket, the word's number, its place in the text and its length."""
+def by_order(raw: bytes, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each order, the n-grams within a word and its fences: their buckets, the blanks before the word's end, their places in the text, and the order."""
     data = _LOWER[np.frombuffer(b" " + raw + b" ", np.uint8)]
     blanks = np.concatenate(([0], np.cumsum(data == 0x20)))
-    parts: list[tuple[np.ndarray, ...]] = []
+    parts = []
     h = data
     for n in range(2, ORDERS[-1] + 1):
         if len(data) < n:
@@ -46,10 +46,16 @@ def word_grams(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         if n in ORDERS:
             last = len(data) - n + 1
             place = np.flatnonzero(blanks[n - 1 : n - 1 + last] == blanks[1 : 1 + last])  # no blank but at the ends
-            parts.append((_bucket(h[place], bits), blanks[1 + place], place, np.full(len(place), n)))
+            parts.append((_bucket(h[place], bits), blanks[1 + place], place, n))
+    return parts
+
+
+def word_grams(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each n-gram within a word and its fences, by word: its bucket, the word's number, its place in the text and its length."""
+    parts = by_order(raw, bits)
     if not parts:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    grams, word, place, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    grams, word, place, size = (np.concatenate(x) for x in zip(*((g, w, p, np.full(len(p), n)) for g, w, p, n in parts), strict=True))
     order = np.argsort(word, kind="stable")
     word = np.unique(word[order], return_inverse=True)[1]
     return grams[order].astype(np.int64), word, place[order], size[order]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import fold, labelled, map_batches, spare, utf8
-from granary.llm.subword import softmax, word_grams
+from granary.llm.subword import by_order, softmax, word_grams
 
 BITS = 17
 WIDTH = 8
@@ -39,22 +39,20 @@ class ToxicityModel:
     shift: float = 0.0
 
     def worst(self, raw: bytes) -> float:
-        grams, word, _, _ = word_grams(raw, BITS)
-        return _worst(grams, word, self.table)[0] + self.bias
+        """The mean over the worst word's bag; 0 for a text without words."""
+        parts = by_order(raw, BITS)
+        n = 1 + max((int(word[-1]) for _, word, _, _ in parts if len(word)), default=-1)
+        sums, counts = np.zeros(n), np.zeros(n, np.int64)
+        for grams, word, _, _ in parts:
+            sums += np.bincount(word, weights=self.table[grams], minlength=n)
+            counts += np.bincount(word, minlength=n)
+        held = counts > 0
+        return (float((sums[held] / np.maximum(counts[held], BAG)).max()) if held.any() else 0.0) + self.bias
 
     def score(self, raw: bytes) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.worst(raw) + self.shift, -40, 40))))
 
 
-def _worst(grams: np.ndarray, word: np.ndarray, table: np.ndarray) -> tuple[float, int]:
-    """The mean over the worst word's bag, and which word that is; 0 for a text without words."""
-    if not len(grams):
-        return 0.0, 0
-    means = np.bincount(word, weights=table[grams]) / np.maximum(np.bincount(word), BAG)
-    at = int(means.argmax())
-    return float(means[at]), at
-
-
 def features(raw: bytes) -> bytes:
     """The distinct words of a text, lower-cased."""
     return b" ".join(sorted(set(raw.lower().split())))
