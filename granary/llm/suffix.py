@@ -362,10 +362,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     table = f"granary_suffix_{uuid.uuid4().hex}"
     rows = docs.select(docs[key].alias("key"), F.monotonically_increasing_id().alias("row"), utf8(docs[text]).alias("text"))
     writer = rows.repartition(buckets, "row").write.bucketBy(buckets, "row").option("compression", "zstd").option("path", scratch.path("texts"))
-    writer.format("parquet").saveAsTable(table)
-    texts = spark.table(table)
-    marks = repeated(texts.select("row", "text"), scratch, length, gram, most)
-    lists = marks.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("of"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_bytes, n_removed, n_spans, digests, texts_kept = [], [], [], [], []
@@ -391,8 +387,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    joined = texts.join(lists.hint("shuffle_hash"), "row", "left").select("key", "text", "of")
-    out = scratch.write(map_batches(joined, run, schema), "result")
-    spark.sql(f"DROP TABLE {table}")
-    scratch.drop("texts", *(f"{x}{i}" for i in range(9) for x in ("records", "anchors", "found", "distinct", "hot", "runs")))
-    return out
+    try:
+        writer.format("parquet").saveAsTable(table)
+        texts = spark.table(table)
+        marks = repeated(texts.select("row", "text"), scratch, length, gram, most)
+        lists = marks.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("of"))
+        joined = texts.join(lists.hint("shuffle_hash"), "row", "left").select("key", "text", "of")
+        return scratch.write(map_batches(joined, run, schema), "result")
+    finally:  # the table leaves the catalog, and all but the result the folder, however this ends
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        scratch.drop("texts", *(f"{x}{i}" for i in range(9) for x in ("records", "anchors", "found", "distinct", "hot", "runs")))
