@@ -21,6 +21,12 @@ XML = """<?xml version="1.0" encoding="utf-8"?><!-- note --><DOCUMENT><DOCUMENT-
 HTML = "<html><head><title>계약</title></head><body><table><tr><td rowspan=2>계약내역</td><td>계약금액(원)</td><td>22,764,764,160,000</td></tr><tr><td>매출액대비(%)</td><td>7.6</td></tr></table></body></html>"
 
 
+def test_html_references_end_in_a_semicolon():
+    top = parsers.parse_html('<title>a &amp;&amp</title><a href="x?a=1&copy=2&amp;b">q &notit; &eacute;&#39; &#x41 & b</a><script>a&&b</script>')
+    assert [e.text() for e in top.elements()] == ["a &&amp", "q &notit; é' &#x41 & b", "a&&b"]
+    assert top.child("a").attributes["href"] == "x?a=1&copy=2&b"
+
+
 def test_dart_parser():
     name, sections, warnings = parsers.parse_dart(XML)
     assert name == "사업보고서" and [s.title for s in sections] == ["I. S&P 개요", "가. 세부", "II. 끝", "사업보고서"] and warnings
