@@ -2,8 +2,11 @@
 
 import math
 import random
+import tracemalloc
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +221,24 @@ def test_many_queries_meet_in_blocks(spark):
     assert retrieval.dense_top(df, asked.limit(0), 4).count() == 0
 
 
+def test_nearest_holds_tiles_only():
+    rng = np.random.default_rng(3)
+    asked, rows = rng.normal(size=(2000, 4)), np.repeat(rng.normal(size=(200, 4)), 100, axis=0)
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), 4).cast(pa.list_(pa.float64()))
+    solve = retrieval._nearest(pa.array(range(2000)), asked, 3, 9, schema)
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(solve(iter([pa.RecordBatch.from_arrays([pa.array(range(20000)), vectors], names=["chunk_id", "vec"])]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all scores are 320 MB
+    assert out.num_rows == 6000  # a hundred copies tie, the smaller ids are kept
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argmax(unit(asked) @ unit(rows).T.round(12), axis=1) // 100 * 100
+    got = out.to_pandas().groupby("query_id")["chunk_id"].apply(sorted)
+    assert all(got[i] == [best[i], best[i] + 1, best[i] + 2] for i in range(2000))
+
+
 def test_ordered_values(spark):
     rng = random.Random(5)
     rows = [("a" if rng.random() < 0.8 else "b", rng.randrange(100)) for _ in range(2000)] + [("c", 7), ("d", None)]
