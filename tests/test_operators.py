@@ -239,6 +239,28 @@ def test_nearest_holds_tiles_only():
     assert all(got[i] == [best[i], best[i] + 1, best[i] + 2] for i in range(2000))
 
 
+@pytest.mark.parametrize("name", ["whitespace", "char_1gram", "char_2gram", "char_3gram"])
+def test_search_in_place_ranks_like_all_scores(spark, name, monkeypatch):
+    monkeypatch.setattr(retrieval, "STRETCH", 64)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcd\U0001f600é") for _ in range(rng.randint(1, 4)))
+    texts = ["", None, " ", "a", " b\u3000", *[rng.choice([" ", "\n\t", "\x1c"]).join(word() for _ in range(rng.randint(1, 30))) for _ in range(200)]]
+    docs = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate([*texts, *texts])], "chunk_id long, text string, g int").repartition(3)
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "", "zz", *texts[20:40]])], "query_id long, text string")
+    scores = retrieval.bm25_scores(retrieval.build_bm25(docs, name), queries, name).withColumn("score", F.round("score", 9))
+    want = sorted(retrieval.ranked(scores, 7).select("query_id", "chunk_id", "score", "rank").collect())
+    assert sorted(retrieval.bm25_top(docs, queries, 7, name).collect()) == want and want
+    monkeypatch.setattr(retrieval, "PLACED_QUERIES", 2)  # beyond the bound: by postings
+    assert sorted(retrieval.bm25_top(docs, queries, 7, name).collect()) == want
+    monkeypatch.undo()
+    some = retrieval.ranked(scores.join(docs.where("g <> 1").select("chunk_id"), "chunk_id"), 7).select("query_id", "chunk_id", "score", "rank")
+    assert sorted(retrieval.bm25_top(docs, queries, 7, name, where=F.col("g") != 1).collect()) == sorted(some.collect())
+    by = retrieval.bm25_top(docs, queries, 7, name, by=F.col("g"), groups=3)
+    for g in range(3):
+        each = retrieval.ranked(scores.join(docs.where(F.col("g") == g).select("chunk_id"), "chunk_id"), 7).select("query_id", "chunk_id", "score", "rank")
+        assert sorted(by.where(F.col("by") == g).drop("by").collect()) == sorted(each.collect())
+
+
 def test_ordered_values(spark):
     rng = random.Random(5)
     rows = [("a" if rng.random() < 0.8 else "b", rng.randrange(100)) for _ in range(2000)] + [("c", 7), ("d", None)]
