@@ -261,6 +261,23 @@ def test_search_in_place_ranks_like_all_scores(spark, name, monkeypatch):
         assert sorted(by.where(F.col("by") == g).drop("by").collect()) == sorted(each.collect())
 
 
+def test_sums_and_statistics_in_place(spark, chunk_rows):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)] + [(90, [0.0] * 5)], "chunk_id long, vec array<double>").repartition(3)
+    asked = df.where("chunk_id < 20").withColumnRenamed("chunk_id", "query_id")
+    want = {r.query_id: (r.n, round(r.t, 9)) for r in retrieval.dense_scores(df, asked).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("score").alias("t")).collect()}
+    assert {r.query_id: (r.n, round(r.total, 9)) for r in retrieval.dense_sums(df, asked, block=7).collect()} == want and len(want) == 20
+    counts = retrieval.postings(chunk_rows, T.whitespace_tokens).groupBy("term").agg(F.count("*"), F.max("tf"), F.sum("tf"))
+    assert sorted(retrieval.term_statistics(chunk_rows, T.whitespace_tokens).collect()) == sorted(counts.collect())
+    flt = filters.RetrievalFilter(companies=["SK"])
+    found = [[(r.chunk_id, r["rank"]) for r in retrieval.bm25_search(ix, chunk_rows, asked_text, 2, flt).collect()] for asked_text in [asked_one(spark)] for ix in (None, retrieval.build_bm25(chunk_rows))]
+    assert found[0] == found[1] and found[0]
+
+
+def asked_one(spark):
+    return asked(spark, "매출액 배당")
+
+
 def test_ordered_values(spark):
     rng = random.Random(5)
     rows = [("a" if rng.random() < 0.8 else "b", rng.randrange(100)) for _ in range(2000)] + [("c", 7), ("d", None)]
