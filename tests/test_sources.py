@@ -4,10 +4,15 @@ import http.server
 import json
 import random
 import threading
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from granary import batches
 from granary.functions import entities
 from granary.operators import routing, tools
 from granary.plans import ask, corpus
@@ -88,6 +93,21 @@ def test_long_tables(spark):
     assert sum(len(r.pairs) for r in parsers.parse(files, None).collect()) == 600
 
 
+def test_parsing_holds_a_slice_only(spark, monkeypatch):
+    """Nodes go out with the slice of files that they come from, not with the whole batch."""
+    taken = []
+    monkeypatch.setattr(parsers, "map_rows", lambda df, rows, ddl: taken.append((rows, ddl)))
+    parsers.parse(spark.createDataFrame([], "doc_id string, doc_group string, file_format string, is_main boolean, path string, content binary"))
+    ((rows, ddl),) = taken
+    body = HTML.replace("<table>", "<p>" + "x" * 1000 + "</p><table>").encode()
+    batch = pa.RecordBatch.from_pylist([{"doc_id": "d", "doc_group": "exchange", "is_main": True, "path": "p", "content": body}] * 4000)
+    tracemalloc.start()
+    sizes = [b.num_rows for b in batches.through(rows, to_arrow_schema(StructType.fromDDL(ddl)))(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 4000 and max(sizes) < 400 and peak < 4e6
+
+
 def write_corpus(root):
     manifest = []
     for i, (group, correction, date, body) in enumerate([("periodic", False, "20240301", XML), ("periodic", True, "20240401", XML), ("exchange", False, "20240101", HTML), ("major", False, "20240105", XML.replace("BODY", "BODY"))]):
