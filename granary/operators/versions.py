@@ -31,8 +31,9 @@ def correction_target(text: Column, doc_group: Column) -> Column:
     """
 
     def date(pattern: str) -> Column:
-        parts = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
-        return F.when(parts[0] != "", F.concat(parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")))
+        numbers = F.regexp_extract_all(F.regexp_extract(text, pattern, 0), F.lit(r"\d+"), F.lit(0))  # all that a match has are the date's
+        joined = lambda n: F.when(F.size(n) == 3, F.concat(n[0], F.lpad(n[1], 2, "0"), F.lpad(n[2], 2, "0")))
+        return F.transform(F.array(numbers), joined)[0]  # an element, so that the text is searched once
 
     def title(pattern: str) -> Column:
         found = F.regexp_extract(text, pattern, 1)
@@ -44,7 +45,7 @@ def correction_target(text: Column, doc_group: Column) -> Column:
     return F.struct(found.alias("target_date"), pick(title, TARGET_TITLES).alias("target_title"), found.isNotNull().alias("ok"))
 
 
-def finalize(rows: DataFrame, group: str = "correction_group_id", order: tuple[str, ...] = BY_DATE) -> DataFrame:
+def finalize(rows: DataFrame, group: str | list[str] = "correction_group_id", order: tuple[str, ...] = BY_DATE) -> DataFrame:
     """``correction_order`` from 0 by date within the group, and ``is_latest`` for the last."""
     w = Window.partitionBy(group).orderBy(*order)
     return rows.withColumn("correction_order", F.row_number().over(w) - 1).withColumn("is_latest", F.lead(F.lit(1)).over(w).isNull())
@@ -53,58 +54,75 @@ def finalize(rows: DataFrame, group: str = "correction_group_id", order: tuple[s
 def keyed_groups(rows: DataFrame, keys: list[str], doc_id: str = "doc_id", order: tuple[str, ...] = BY_DATE) -> DataFrame:
     """Groups of equal keys (nulls are equal), named by their earliest document."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return finalize(rows.withColumn("correction_group_id", F.first(doc_id).over(w)).withColumn("resolution_source", F.lit("manifest_key")), order=order)
+    return finalize(rows.withColumn("correction_group_id", F.first(doc_id).over(w)).withColumn("resolution_source", F.lit("manifest_key")), keys, order)
 
 
-def parents(rows: DataFrame, candidate_keys: list[str], score: Column | None = None) -> DataFrame:
-    """``doc_id, parent, resolution_source``: the filing that each correction names by date.
+def _linked(rows: DataFrame, candidate_keys: list[str], score: Column | None = None) -> DataFrame:
+    """``rows`` with what ``parents`` finds.
 
-    Of several candidates the one whose title is most like the named title is taken, if its score reaches
-    FUZZY_LEAST; ties go to the earlier and then smaller document.
+    A filing meets its candidates' number and their first and last id, which settles those with one; titles are compared only for those with several.
     """
-    ours = rows.select("doc_id", "is_correction", "file_format", "target_date", "target_title", "overridden", *candidate_keys)
-    theirs = rows.select(F.col("doc_id").alias("c_id"), F.col("rcept_dt").alias("c_date"), F.col("rcept_no").alias("c_no"), F.col("report_nm").alias("c_title"), *[F.col(k).alias(f"c_{k}") for k in candidate_keys])
-    asks = F.col("is_correction") & (F.col("file_format") == "xml") & F.col("target_date").isNotNull()
-    same = F.lit(True)
-    for k in candidate_keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"c_{k}"))
-    met = ours.where(asks).join(theirs, same & (F.col("target_date") == F.col("c_date")) & (F.col("doc_id") != F.col("c_id")))
+    asks = F.col("is_correction") & (F.col("file_format") == "xml")
+    keys = {f"_key{i}": F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for i, k in enumerate(candidate_keys)}  # nulls are equal
+    place = ["_hash", "_date", *keys]  # the hash goes first: rows are sorted by it
+
+    def placed(df: DataFrame, date: Column) -> DataFrame:
+        return df.withColumns({"_date": date, **keys}).withColumn("_hash", F.when(F.col("_date").isNotNull(), F.xxhash64("_date", *keys)))
+
+    theirs = placed(rows, F.col("rcept_dt")).where("_date is not null")
+    counted = theirs.groupBy(*place).agg(F.count("doc_id").alias("_all"), F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+    met = placed(rows, F.when(asks, F.col("target_date"))).join(counted, place, "left")
+    # a filing is among its own candidates where it names its own date
+    met = met.withColumn("n", F.coalesce("_all", F.lit(0)) - F.coalesce(F.col("_date") == F.col("rcept_dt"), F.lit(False)).cast("int"))
+    other = F.when(F.col("_first") == F.col("doc_id"), F.col("_last")).otherwise(F.col("_first"))
+    met = cut(met.withColumn("only", F.when(F.col("n") == 1, other)).select(*rows.columns, *place, "n", "only"))
+
+    candidates = theirs.select(*place, F.col("doc_id").alias("c_id"), F.col("rcept_no").alias("c_no"), F.col("report_nm").alias("c_title"))
+    several = met.where("n > 1").join(candidates, place).where("doc_id <> c_id")
     like = score if score is not None else T.token_sort_ratio(F.col("target_title"), T.strip_correction_prefix("c_title"))
-    w = Window.partitionBy("doc_id")
-    met = met.withColumn("n", F.count("*").over(w)).withColumn("like", F.when(F.col("n") > 1, like))
-    best = met.withColumn("i", F.row_number().over(w.orderBy(F.desc("like"), "c_date", "c_no", "c_id"))).where("i = 1")
-    chosen = best.where((F.col("n") == 1) | (F.col("like") >= FUZZY_LEAST)).select("doc_id", F.col("c_id").alias("parent"), F.col("n").alias("n_candidates"))
+    several = several.withColumn("like", like)
+    best = several.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("like"), "c_no", "c_id"))).where("i = 1")
+    chosen = best.where(F.col("like") >= FUZZY_LEAST).select("doc_id", F.col("c_id").alias("chosen"))
     source = (
         F.when(~F.col("is_correction"), "original")
         .when(F.col("file_format") != "xml", "unsupported_format")
         .when(F.col("target_date").isNull() | F.col("parent").isNull(), "unresolved")
-        .when(F.col("n_candidates") > 1, "fuzzy_tiebreak")
+        .when(F.col("n") > 1, "fuzzy_tiebreak")
         .when(F.col("overridden"), "manual_override")
         .otherwise("rule")
     )
-    return ours.join(chosen, "doc_id", "left").select("doc_id", "parent", source.alias("resolution_source"))
+    return met.join(chosen, "doc_id", "left").withColumn("parent", F.coalesce("only", "chosen")).select(*rows.columns, "parent", source.alias("resolution_source"))
+
+
+def parents(rows: DataFrame, candidate_keys: list[str], score: Column | None = None) -> DataFrame:
+    """``doc_id, parent, resolution_source``: the filing that each correction names by date.
+
+    Of several candidates the one whose title is most like the named title is taken, if its score reaches
+    FUZZY_LEAST; ties go to the earlier and then smaller document.
+    """
+    return _linked(rows, candidate_keys, score).select("doc_id", "parent", "resolution_source")
 
 
 def roots(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """``doc_id, root`` from ``doc_id, parent``, by pointer doubling: rounds grow with the logarithm of the longest chain.
 
-    A document in a cycle is its own root; one that leads into a cycle has the cycle's first document it meets.
+    A round takes only what hasn't reached its root.  A document in a cycle is its own root; one that leads into a cycle
+    has the cycle's first document it meets.
     """
-    own = cut(links.select("doc_id", F.coalesce("parent", "doc_id").alias("up")))
-    tops = own.where("doc_id = up").select("up")
-    now, before = own, None
+    up = F.coalesce("parent", "doc_id")
+    own = cut(links.select("doc_id", up.alias("up"), (up == F.col("doc_id")).alias("done")))
+    settled, rest, before = own.where("done"), own.where("not done"), None
     for _ in range(most_rounds):
-        unsettled = now.join(tops, "up", "left_anti").count()
+        unsettled = rest.count()
         if unsettled in (0, before):  # what no longer shrinks is in or before a cycle
             break
-        above = now.select(F.col("doc_id").alias("up"), F.col("up").alias("above"))
-        now = now.join(above, "up", "left").select("doc_id", F.coalesce("above", "up").alias("up"))
-        now, before = cut(now), unsettled
-    settled = now.join(tops, "up", "left_semi").select("doc_id", F.col("up").alias("root"))
+        above = settled.unionByName(rest).select(F.col("doc_id").alias("at"), F.col("up").alias("above"), F.col("done").alias("ends"))
+        now = cut(rest.select("doc_id", F.col("up").alias("at")).join(above, "at").select("doc_id", F.col("above").alias("up"), F.col("ends").alias("done")))
+        settled, rest, before = settled.unionByName(now.where("done")), now.where("not done"), unsettled
+    out = settled.select("doc_id", F.col("up").alias("root"))
     if not unsettled:
-        return settled
-    loose = now.join(tops, "up", "left_anti").select("doc_id")
-    return settled.unionByName(_with_cycles(own.join(loose, "doc_id", "left_semi")))
+        return out
+    return out.unionByName(_with_cycles(own.select("doc_id", "up").join(rest.select("doc_id"), "doc_id", "left_semi")))
 
 
 def _with_cycles(own: DataFrame) -> DataFrame:
@@ -124,8 +142,8 @@ def _with_cycles(own: DataFrame) -> DataFrame:
 
 def event_groups(rows: DataFrame, candidate_keys: list[str]) -> DataFrame:
     """Groups along the chain of corrections; unresolved corrections are groups of their own."""
-    links = cut(parents(rows, candidate_keys))
-    grouped = rows.join(links.select("doc_id", "resolution_source"), "doc_id").join(roots(links).withColumnRenamed("root", "correction_group_id"), "doc_id")
+    links = cut(_linked(rows, candidate_keys))
+    grouped = links.drop("parent").join(roots(links.select("doc_id", "parent")).withColumnRenamed("root", "correction_group_id"), "doc_id")
     return finalize(grouped)
 
 
@@ -137,16 +155,17 @@ def correction_index(manifest: DataFrame, texts: DataFrame, overrides: DataFrame
     found = texts.select("doc_id", flat(F.col("text")).alias("flat"))
     rows = manifest.join(found, "doc_id", "left")
     rows = rows.join(overrides.withColumnRenamed("target_date", "fixed_date"), "doc_id", "left") if overrides is not None else rows.withColumn("fixed_date", F.lit(None).cast("string"))
-    target = correction_target(F.col("flat"), F.col("doc_group"))
+    asked = F.when(F.col("is_correction") & (F.col("doc_group") != "periodic"), F.col("flat"))
+    target = correction_target(asked, F.col("doc_group"))
     rows = rows.withColumn("_t", target).withColumn("overridden", F.col("fixed_date").isNotNull())
-    rows = rows.withColumn("target_date", F.coalesce("fixed_date", "_t.target_date")).withColumn("target_title", F.when(~F.col("overridden"), F.col("_t.target_title"))).drop("_t", "flat", "fixed_date")
-    out = keyed_groups(rows.where("doc_group = 'periodic'"), ["corp_name", "doc_subtype", "base_year", "base_month"])
+    rows = rows.withColumn("target_date", F.coalesce("fixed_date", "_t.target_date")).withColumn("target_title", F.when(~F.col("overridden"), F.col("_t.target_title")))
+    held = ["doc_id", "doc_group", "corp_name", "flr_nm", "doc_subtype", "base_year", "base_month", "report_nm", "rcept_dt", "rcept_no", "is_correction", "file_format", "overridden", "target_date", "target_title"]
+    rows = cut(rows.select(held))  # texts are read once for all groups
     columns = ["doc_id", "correction_group_id", "correction_order", "is_correction", "is_latest", "resolution_source"]
-    out = out.select(columns)
-    for group in ("major", "exchange", "holding"):
-        keys = ["corp_name", "flr_nm"] if group == "holding" else ["corp_name"]
-        out = out.unionByName(event_groups(rows.where(F.col("doc_group") == group), keys).select(columns))
-    return out
+    periodic = keyed_groups(rows.where("doc_group = 'periodic'"), ["corp_name", "doc_subtype", "base_year", "base_month"])
+    events = rows.where(F.col("doc_group").isin("major", "exchange", "holding")).withColumn("_filer", F.when(F.col("doc_group") == "holding", F.col("flr_nm")))
+    events = events.drop("flr_nm", "doc_subtype", "base_year", "base_month")
+    return periodic.select(columns).unionByName(event_groups(events, ["doc_group", "corp_name", "_filer"]).select(columns))
 
 
 def of_company(filings: DataFrame, company: str, title: str | None = None) -> DataFrame:

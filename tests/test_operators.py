@@ -115,6 +115,31 @@ def test_version_chains(spark):
     assert set(latest.values()) == {1}
 
 
+def test_texts_are_read_once_for_all_groups(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def reads(text):
+        read.add(1)
+        return text
+
+    rows = [filing(f"{g}{i}", g, f"2024010{i}", i > 1, filer="x") for g in ("major", "exchange", "holding", "periodic") for i in (1, 2, 3)]
+    texts = spark.createDataFrame([(r[0], f"정정대상 공시서류의 최초제출일 : 2024.01.0{int(r[0][-1]) - 1}") for r in rows if r[8]], "doc_id string, text string")
+    index = versions.correction_index(spark.createDataFrame(rows, FILING), texts.select("doc_id", F.udf(reads, "string")("text").alias("text")))
+    assert {(r.doc_id[:-1], r.correction_order) for r in index.collect() if r.correction_group_id == r.doc_id[:-1] + "1"} == {(g, i) for g in ("major", "exchange", "holding", "periodic") for i in range(3)}
+    assert read.value == 8
+
+
+def test_filings_that_name_their_own_date(spark):
+    """A filing isn't its own candidate, null keys are equal, and groups and filers don't mix."""
+    rows = [filing("a", "major", "20240101", corp=None), filing("b", "major", "20240101", True, corp=None), filing("c", "major", "20240101", True, corp="C"), filing("d", "major", "20240101", corp="D"), filing("e", "major", "20240101", corp="D"), filing("f", "major", "20240101", True, corp="D", title="다른 것")]
+    rows += [filing("x", "exchange", "20240101", corp="C"), filing("h", "holding", "20240101", corp=None), filing("i", "holding", "20240101", corp=None, filer="y"), filing("j", "holding", "20240101", True, corp=None)]
+    texts = [(i, "정정대상 공시서류의 최초제출일 : 2024.1.1") for i in "bcfj"]
+    index = versions.correction_index(spark.createDataFrame(rows, FILING), spark.createDataFrame(texts, "doc_id string, text string"))
+    got = {r.doc_id: (r.correction_group_id, r.resolution_source) for r in index.collect()}
+    assert len(got) == len(rows) and got["b"] == ("a", "rule") and got["c"] == ("c", "unresolved") and got["j"] == ("h", "rule")
+    assert got["f"] == ("f", "unresolved")  # of two candidates none is like the title that isn't named
+
+
 def test_cycles_and_long_chains(spark):
     links = [(str(i), str(i - 1) if i else None) for i in range(100)] + [("x", "y"), ("y", "x"), ("z", "x")]
     out = {r.doc_id: r.root for r in versions.roots(spark.createDataFrame(links, "doc_id string, parent string")).collect()}
